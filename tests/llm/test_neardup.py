@@ -20,6 +20,8 @@ def test_alignment():
     a = [np.array([r.randrange(5) for _ in range(r.randrange(0, 12))]) for _ in range(200)]
     b = [np.array([r.randrange(5) for _ in range(r.randrange(0, 12))]) for _ in range(200)]
     got = D.banded_similarity(a, b, 12)
+    b[0], a[0], b[1], a[1] = np.arange(2), np.arange(40), np.arange(30), np.arange(3)
+    got = D.banded_similarity(a, b, 12)
     want = [1 - distance(x, y) / max(1, len(x), len(y)) for x, y in zip(a, b)]
     assert np.allclose(got, want)
 

@@ -72,7 +72,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def class_of(hashes: list[int]) -> int:
     """Signed 64-bit hash of the set of words."""
     x = _mix(np.unique(np.array(hashes, np.int64).view(np.uint64)))
-    return int(_mix(np.array([np.bitwise_xor.reduce(x) + np.sum(x) * np.uint64(3) + np.uint64(len(x))], np.uint64)).view(np.int64)[0])
+    both = np.bitwise_xor.reduce(x, keepdims=True) + np.sum(x, keepdims=True) * np.uint64(3)
+    return int(_mix(both).view(np.int64)[0])
 
 
 def records(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -266,7 +267,7 @@ def banded_similarity(a: list[np.ndarray], b: list[np.ndarray], width: int = BAN
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
     rows, cols = int(n.max()), int(m.max())
     reach = width + int(np.abs(n - m).max())
-    A, B = np.zeros((len(a), rows), np.int64), np.zeros((len(b), cols + 2 * reach + 2), np.int64)
+    A, B = np.zeros((len(a), rows), np.int64), np.zeros((len(b), max(rows, cols) + 2 * reach + 2), np.int64)
     for i, (x, y) in enumerate(zip(a, b)):
         A[i, : len(x)] = x
         B[i, reach : reach + len(y)] = y
