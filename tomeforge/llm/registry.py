@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and, where SQL can express one, ORACLES.
-MODULES = ["tokens", "packing", "rankwalk", "confusables", "neardup", "language", "scans", "names"]
+MODULES = ["tokens", "packing", "rankwalk", "confusables", "neardup", "language", "scans", "names", "privacy"]
 
 
 def _loaded() -> list:
