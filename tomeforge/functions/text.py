@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}_]+"
 #: What counts as a search term: Latin letters, Russian letters, digits.
@@ -16,6 +17,10 @@ LATIN_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaa
 OLD_LETTERS, NEW_LETTERS = "ѢѣѲѳІіѴѵ", "ЕеФфИиИи"
 
 
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -61,7 +66,7 @@ def normal_text(c: Column, language: Column) -> Column:
     return F.when(lang.isin("kk", "tt"), turkic_normal(c)).when(lang == "en", english_normal(c)).otherwise(russian_terms(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_text(texts: pd.Series) -> pd.Series:
     """Compatibility form, single blanks, full case folding."""
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).split()).casefold())
@@ -93,8 +98,8 @@ def display(title: Column, path: Column, place: Column, excerpt: Column) -> Colu
 
 
 def semantic_excerpt(c: Column) -> Column:
-    t = F.trim(c)
-    return F.when(F.length(t) > 300, F.concat(F.rtrim(F.substring(t, 1, 297)), F.lit("..."))).otherwise(t)
+    t = strip(c)
+    return F.when(F.length(t) > 300, F.concat(strip(F.substring(t, 1, 297)), F.lit("..."))).otherwise(t)
 
 
 def cut_excerpt(c: Column, size: int = 200) -> Column:

@@ -22,12 +22,13 @@ def query_terms(query: str) -> list[str]:
     return [t.translate(str.maketrans(*LATIN_ACCENTS)) for t in re.findall(r"[^\W]+", text) if re.match(TERM, t)]
 
 
-def _occurrences(tok: Column, phrase: list[str]) -> Column:
-    if len(phrase) == 1:
-        return F.size(F.filter(tok, lambda t: t == phrase[0]))
-    want, n = F.array(*map(F.lit, phrase)), len(phrase)
-    starts = F.when(F.size(tok) >= n, F.sequence(F.lit(1), F.size(tok) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(tok, i, n) == want))
+def _joined(tok: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(tok, "  "), F.lit(" "))
+
+
+def _occurrences(joined: Column, phrase: list[str]) -> Column:
+    """How often the words stand side by side, overlaps included; terms are letters and digits only."""
+    return F.regexp_count(joined, F.lit(f"(?= {'  '.join(phrase)} )"))
 
 
 def _score(n: float, avgdl: Column | float, counts: list[tuple[Column, float, float]], dl: Column) -> Column:
@@ -52,8 +53,10 @@ def rank_chunks(chunks: DataFrame, raw_terms: list[str], lemma_terms: list[str],
     raw_phrases = [raw_terms] if phrase else [[t] for t in raw_terms]
     lemma_phrases = [lemma_terms] if phrase else [[t] for t in lemma_terms]
     columns = [("r", p) for p in raw_phrases if p] + [("l", p) for p in lemma_phrases if p]
-    base = chunks.select("id", tokens(F.col("raw_text")).alias("r"), tokens(F.col("lemma_text")).alias("l"))
-    counted = base.select("id", (F.size("r") + F.size("l")).alias("dl"), *[_occurrences(F.col(c), p).alias(f"o{i}") for i, (c, p) in enumerate(columns)])
+    base = chunks.select("id", _joined(tokens(F.col("raw_text"))).alias("r"), _joined(tokens(F.col("lemma_text"))).alias("l"))
+    # tokens have no blanks, so every pair of blanks is a border
+    length = lambda c: F.when(F.length(c) <= 2, 0).otherwise(F.regexp_count(F.col(c), F.lit("  ")) + 1)
+    counted = base.select("id", (length("r") + length("l")).alias("dl"), *[_occurrences(F.col(c), p).alias(f"o{i}") for i, (c, p) in enumerate(columns)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total"), *[F.count_if(F.col(f"o{i}") > 0).alias(f"h{i}") for i in range(len(columns))]).first()
     if not columns or not stats.n or not stats.total:
         return counted.where(F.lit(False)).select("id", F.lit(0.0).alias("rank"))

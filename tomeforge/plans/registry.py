@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tomeforge.plans import incremental
+from tomeforge.plans import incremental, pipeline, retrieval, texts
 
-MODULES = [incremental]
+MODULES = [incremental, texts, retrieval, pipeline]
 
 
 def core_queries() -> dict:

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_parse = T.StructType.fromDDL
+_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
+def _parse(ddl: str) -> T.StructType:
+    """Names and types without a session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
+
 
 LOCATOR = _parse("page int, chapter string, item_id string, char_start int, char_end int")
 BLOCKS = "array<struct<text:string,page:int,chapter:string,item_id:string,char_start:int,char_end:int>>"
