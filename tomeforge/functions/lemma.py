@@ -22,7 +22,8 @@ def learn_dictionary(chunks: DataFrame, raw: str = "raw_text", lemma: str = "lem
     """(form, lemma) from texts that come with lemmas, where both have the same number of tokens: the most frequent lemma of a form."""
     from tomeforge.functions.text import search_terms
 
-    pairs = chunks.select(search_terms(F.col(raw)).alias("r"), search_terms(F.col(lemma)).alias("l")).where(F.size("r") == F.size("l"))
+    both = F.struct(search_terms(F.col(raw)).alias("r"), search_terms(F.col(lemma)).alias("l"))
+    pairs = chunks.select(F.explode(F.array(both)).alias("t")).select("t.r", "t.l").where(F.size("r") == F.size("l"))
     flat = pairs.select(F.explode(F.arrays_zip("r", "l")).alias("p")).select(F.col("p.r").alias("form"), F.col("p.l").alias("lemma"))
     counted = flat.groupBy("form", "lemma").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("form").agg(F.max(F.struct("n", "lemma")).alias("m")).select("form", F.col("m.lemma").alias("lemma"))

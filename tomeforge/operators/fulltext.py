@@ -53,7 +53,9 @@ def rank_chunks(chunks: DataFrame, raw_terms: list[str], lemma_terms: list[str],
     raw_phrases = [raw_terms] if phrase else [[t] for t in raw_terms]
     lemma_phrases = [lemma_terms] if phrase else [[t] for t in lemma_terms]
     columns = [("r", p) for p in raw_phrases if p] + [("l", p) for p in lemma_phrases if p]
-    base = chunks.select("id", _joined(tokens(F.col("raw_text"))).alias("r"), _joined(tokens(F.col("lemma_text"))).alias("l"))
+    # a generator keeps the optimiser from repeating the tokenising in every expression that reads the tokens
+    both = F.struct(_joined(tokens(F.col("raw_text"))).alias("r"), _joined(tokens(F.col("lemma_text"))).alias("l"))
+    base = chunks.select("id", F.explode(F.array(both)).alias("t")).select("id", "t.r", "t.l")
     # tokens have no blanks, so every pair of blanks is a border
     length = lambda c: F.when(F.length(c) <= 2, 0).otherwise(F.regexp_count(F.col(c), F.lit("  ")) + 1)
     counted = base.select("id", (length("r") + length("l")).alias("dl"), *[_occurrences(F.col(c), p).alias(f"o{i}") for i, (c, p) in enumerate(columns)])

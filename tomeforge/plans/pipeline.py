@@ -20,7 +20,7 @@ from tomeforge.streaming.watch import debounce_batch, parse_payloads, wanted
 
 
 def _chunks(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return table(spark, d, "chunks", list(cols) or None)
+    return table(spark, d, "chunks", list(cols) or None, spread=True)
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:

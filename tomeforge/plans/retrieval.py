@@ -56,16 +56,16 @@ def search_tag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_year(spark: SparkSession, d: str) -> DataFrame:
-    return filter_books(_books(spark, d), SearchFilters(year_from=1905, year_to=1910), timeline=years(table(spark, d, "chunks", ["id", "book_id", "raw_text"]))).select("id")
+    return filter_books(_books(spark, d), SearchFilters(year_from=1905, year_to=1910), timeline=years(table(spark, d, "chunks", ["id", "book_id", "raw_text"], spread=True))).select("id")
 
 
 def search_category(spark: SparkSession, d: str) -> DataFrame:
-    links = classify(book_sample(table(spark, d, "chunks", ["book_id", "chunk_no", "raw_text"])), min_score=0.0, top_n=1000)
+    links = classify(book_sample(table(spark, d, "chunks", ["book_id", "chunk_no", "raw_text"], spread=True)), min_score=0.0, top_n=1000)
     return filter_books(_books(spark, d), SearchFilters(category_ids=[1, 4]), book_categories=links).select("id")
 
 
 def postings_stats(spark: SparkSession, d: str) -> DataFrame:
-    postings, _ = build_postings(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"]))
+    postings, _ = build_postings(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True))
     return postings.groupBy("token", "col").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("tf").alias("n_total"), F.max(F.array_max("positions")).alias("last_pos"))
 
 
@@ -74,23 +74,23 @@ def _top(ranked: DataFrame) -> DataFrame:
 
 
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"]), TERMS, []))
+    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True), TERMS, []))
 
 
 def bm25_or_lemma(spark: SparkSession, d: str) -> DataFrame:
-    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"]), TERMS, TERMS))
+    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True), TERMS, TERMS))
 
 
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"]), PHRASE, [], phrase=True))
+    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True), PHRASE, [], phrase=True))
 
 
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
-    return _top(rank_postings(*build_postings(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"])), TERMS, TERMS))
+    return _top(rank_postings(*build_postings(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True)), TERMS, TERMS))
 
 
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
-    hits = search_text(table(spark, d, "chunks"), _books(spark, d), QUERY, limit=TOP)
+    hits = search_text(table(spark, d, "chunks", spread=True), _books(spark, d), QUERY, limit=TOP)
     return hits.select("chunk_id", "source_path", F.round("rank", 9).alias("rank"), "excerpt")
 
 
@@ -113,17 +113,17 @@ def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """The vectors as an index: vec_id is the chunk, the text's fingerprint that of the chunk."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("m").alias("model"), "embedding")
-    return v.join(table(spark, d, "chunks", ["id", "raw_text"]).select(F.col("id").alias("chunk_id"), fingerprint("m", F.col("raw_text")).alias("fingerprint")), "chunk_id")
+    return v.join(table(spark, d, "chunks", ["id", "raw_text"], spread=True).select(F.col("id").alias("chunk_id"), fingerprint("m", F.col("raw_text")).alias("fingerprint")), "chunk_id")
 
 
 def embed_pending(spark: SparkSession, d: str) -> DataFrame:
-    return pending_chunks(table(spark, d, "chunks", ["id", "raw_text"]), _vectors(spark, d), "m").select("chunk_id", "fingerprint")
+    return pending_chunks(table(spark, d, "chunks", ["id", "raw_text"], spread=True), _vectors(spark, d), "m").select("chunk_id", "fingerprint")
 
 
 def embed_chunks(spark: SparkSession, d: str) -> DataFrame:
     e = HashingEmbedder()
     none = _vectors(spark, d).where(F.lit(False))
-    return embed(pending_chunks(table(spark, d, "chunks", ["id", "raw_text"]), none, e.model), e).select("chunk_id", "model", F.size("embedding").alias("dimension"), "error")
+    return embed(pending_chunks(table(spark, d, "chunks", ["id", "raw_text"], spread=True), none, e.model), e).select("chunk_id", "model", F.size("embedding").alias("dimension"), "error")
 
 
 def vectors_alive(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +147,7 @@ def hybrid_exact_boost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_exact_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks", ["id", "raw_text"]).where(exact_match(F.col("raw_text"), QUERY)).select("id")
+    return table(spark, d, "chunks", ["id", "raw_text"], spread=True).where(exact_match(F.col("raw_text"), QUERY)).select("id")
 
 
 def hybrid_rerank(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +161,7 @@ def hybrid_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = search_hybrid(table(spark, d, "chunks"), _books(spark, d), _vectors(spark, d), QUERY, _query_vector(spark, d), limit=10)
+    hits = search_hybrid(table(spark, d, "chunks", spread=True), _books(spark, d), _vectors(spark, d), QUERY, _query_vector(spark, d), limit=10)
     return hits.select("chunk_id", "display", F.round("hybrid_score", 9).alias("hybrid_score"))
 
 

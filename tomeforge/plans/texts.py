@@ -30,12 +30,12 @@ def doc_sha256(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
-    flat = table(spark, d, "chunks", ["raw_text"]).select(F.explode(X.tokens(F.col("raw_text"))).alias("token"))
+    flat = table(spark, d, "chunks", ["raw_text"], spread=True).select(F.explode(X.tokens(F.col("raw_text"))).alias("token"))
     return flat.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def search_term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks", ["id", "raw_text"]).select("id", F.size(X.search_terms(F.col("raw_text"))).alias("n_terms"))
+    return table(spark, d, "chunks", ["id", "raw_text"], spread=True).select("id", F.size(X.search_terms(F.col("raw_text"))).alias("n_terms"))
 
 
 def prereform_map(spark: SparkSession, d: str) -> DataFrame:
@@ -50,12 +50,12 @@ def normalize_dispatch(spark: SparkSession, d: str) -> DataFrame:
 
 def lemmas_learned(spark: SparkSession, d: str) -> DataFrame:
     """The lemma of every form, learned from the chunks that come with lemmas."""
-    return learn_dictionary(table(spark, d, "chunks", ["raw_text", "lemma_text"]))
+    return learn_dictionary(table(spark, d, "chunks", ["raw_text", "lemma_text"], spread=True))
 
 
 def lemmatized_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", ["doc_id", "text"]).withColumn("terms", X.search_terms(X.modern_spelling(F.col("text"))))
-    return lemmatize(docs, "doc_id", "terms", learn_dictionary(table(spark, d, "chunks", ["raw_text", "lemma_text"])))
+    return lemmatize(docs, "doc_id", "terms", learn_dictionary(table(spark, d, "chunks", ["raw_text", "lemma_text"], spread=True)))
 
 
 def metadata_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ def display_location(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_excerpt(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks", ["id", "raw_text"]).select("id", X.semantic_excerpt(F.col("raw_text")).alias("excerpt"), X.cut_excerpt(F.col("raw_text")).alias("short"))
+    return table(spark, d, "chunks", ["id", "raw_text"], spread=True).select("id", X.semantic_excerpt(F.col("raw_text")).alias("excerpt"), X.cut_excerpt(F.col("raw_text")).alias("short"))
 
 
 def canonical_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,7 @@ def safe_casts(spark: SparkSession, d: str) -> DataFrame:
 
 def roman_centuries(spark: SparkSession, d: str) -> DataFrame:
     tok = F.regexp_extract_all("raw_text", F.lit(TOK), F.lit(0))
-    rows = table(spark, d, "chunks", ["raw_text"]).select(F.explode(F.filter(tok, lambda t: t.rlike("^[IVX]+$"))).alias("roman"))
+    rows = table(spark, d, "chunks", ["raw_text"], spread=True).select(F.explode(F.filter(tok, lambda t: t.rlike("^[IVX]+$"))).alias("roman"))
     value = rows.groupBy("roman").agg(F.count(F.lit(1)).alias("n")).withColumn("century", X.roman_to_int(F.col("roman")))
     return value.select("roman", "n", "century", X.century_years(F.col("century"))["year_from"].alias("year_from"), X.century_years(F.col("century"))["year_to"].alias("year_to"))
 
@@ -100,7 +100,7 @@ def iter_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks_by_ids(spark: SparkSession, d: str) -> DataFrame:
-    return by_ids(table(spark, d, "chunks", ["id", "book_id", "chunk_no", "raw_text"]), IDS)
+    return by_ids(table(spark, d, "chunks", ["id", "book_id", "chunk_no", "raw_text"], spread=True), IDS)
 
 
 def json_rows(spark: SparkSession, d: str) -> DataFrame:

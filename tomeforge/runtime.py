@@ -25,10 +25,24 @@ def build_session(app: str = "tomeforge", master: str | None = None, **conf: str
     return builder.config(map=base | conf).getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """One table of a data folder; only the named columns are read."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+#: Below this size a table is spread over all cores: it may be a single row group, which one task would read alone.
+SMALL_BYTES = 64 << 20
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None, spread: bool = False) -> DataFrame:
+    """One table of a data folder; only the named columns are read. spread: for stages with much work per row."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    df = df.select(*columns) if columns else df
+    if spread and path_bytes(spark, path) < SMALL_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def shared_folder(spark: SparkSession) -> str:
