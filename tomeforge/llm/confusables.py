@@ -248,12 +248,12 @@ def normalise(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunks", ["id", "raw_text", "lemma_text"])
+    chunks = table(spark, sf_dir, "chunks", ["id", "raw_text", "lemma_text"], spread=True)
     return find(chunks, "id", ["raw_text", "lemma_text"]).withColumnRenamed("id", "chunk_id")
 
 
 def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunks", ["id", "raw_text", "lemma_text"])
+    chunks = table(spark, sf_dir, "chunks", ["id", "raw_text", "lemma_text"], spread=True)
     return normalise(chunks, "id", ["raw_text", "lemma_text"]).withColumnRenamed("id", "chunk_id")
 
 

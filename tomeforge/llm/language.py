@@ -272,7 +272,7 @@ def book_languages(segs: DataFrame) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chunks = table(spark, sf_dir, "chunks", ["id", "book_id", "raw_text"])
+    chunks = table(spark, sf_dir, "chunks", ["id", "book_id", "raw_text"], spread=True)
     books = table(spark, sf_dir, "books", ["id", "language"])
     return books, written(segments(chunks, *fit_on_sample(chunks, books)), "segments")
 

@@ -349,7 +349,7 @@ def similar_groups(pairs_df: DataFrame, sizes: DataFrame, keep: str, share: floa
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chunks = table(spark, sf_dir, "chunks", ["id", "book_id", "raw_text"])
+    chunks = table(spark, sf_dir, "chunks", ["id", "book_id", "raw_text"], spread=True)
     return chunks, written(records(chunks, "id", "raw_text", ["book_id"]), "records")
 
 

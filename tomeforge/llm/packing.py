@@ -96,7 +96,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, per
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    ids = encode_documents(table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True))
     sizes = written(ids.select(F.col("doc_id").alias("id"), F.size("ids").alias("size")), "p9-sizes")
     return pack(sizes).withColumnRenamed("id", "doc_id")
 

@@ -290,7 +290,7 @@ def repaired(chunks: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf_dir, "chunks", ["id", "book_id", "raw_text", "page"]), table(spark, sf_dir, "books", ["id", "title", "author"])
+    return table(spark, sf_dir, "chunks", ["id", "book_id", "raw_text", "page"], spread=True), table(spark, sf_dir, "books", ["id", "title", "author"])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return encode_documents(table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True))
 
 
 QUERIES = {"p8_ids": p8_ids}
