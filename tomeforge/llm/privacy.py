@@ -142,24 +142,21 @@ def tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int,
     return out
 
 
-def term_counts(docs: DataFrame, given: frozenset[str] = _SEED) -> DataFrame:
-    """(term, n, low, caps, guarded, beside) over all texts: occurrences; in lower case; capitalised within a sentence; in a
-    sentence with a protected entity; next to an initial or a known name. The term '' has the totals."""
-    shared = docs.sparkSession.sparkContext.broadcast(given)
+def co_occurrence(docs: DataFrame) -> DataFrame:
+    """(term, left, right, n, low, caps, guarded) over all texts, summed per task first.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[int]] = {}
-        total = [0, 0, 0, 0, 0]
-        names, known = shared.value, {}
+    left and right are the terms a term stands next to; "." is an initial, "" nothing or a term that cannot matter,
+    as neither of the two is written like a name.  low counts lower case, caps capitals within a sentence, guarded
+    sentences with a protected entity.  The term "" has the number of running words.
+    """
 
-        def named(w: str) -> bool:
-            if w not in known:
-                known[w] = is_given(w, names)
-            return known[w]
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[str, str, str], list[int]] = {}
+        total = 0
 
         def flush() -> pd.DataFrame:
-            rows = [(t, *v) for t, v in seen.items()] + [("", *total)]
-            return pd.DataFrame(rows, columns=["term", "n", "low", "caps", "guarded", "beside"]).astype({"term": object})
+            rows = [(*t, *v) for t, v in seen.items()] + [("", "", "", total, 0, 0, 0)]
+            return pd.DataFrame(rows, columns=["term", "left", "right", "n", "low", "caps", "guarded"])
 
         for b in batches:
             for text in b["text"]:
@@ -168,30 +165,55 @@ def term_counts(docs: DataFrame, given: frozenset[str] = _SEED) -> DataFrame:
                 taken = protected(text)
                 tok = tokens(text, taken)
                 spans = [(m.start(), m.end()) for m in SENTENCE.finditer(text)]
-                guard, k = [], 0
+                guard, at, g = [], 0, 0
+                entities = [a for a, _, kind in taken if kind != "link"]
                 for s, e in spans:
-                    guard.append(any(s <= a < e and kind != "link" for a, _, kind in taken))
-                at = 0
+                    while g < len(entities) and entities[g] < s:
+                        g += 1
+                    guard.append(g < len(entities) and entities[g] < e)
+                folded = ["." if t[3] else fold(t[2]) for t in tok]
+                named = [t[2][0].isupper() or t[3] for t in tok]
                 for k, (a, _, w, initial, joined, fresh) in enumerate(tok):
                     while at < len(spans) and spans[at][1] <= a:
                         at += 1
                     if initial:
                         continue
-                    f = fold(w)
-                    near = joined and (tok[k - 1][3] or named(fold(tok[k - 1][2]))) or k + 1 < len(tok) and tok[k + 1][4] and (tok[k + 1][3] or named(fold(tok[k + 1][2])))
-                    row = (1, int(w[0].islower()), int(w[0].isupper() and not fresh and not w[1:].isupper()), int(at < len(guard) and guard[at]), int(near))
-                    v = seen.setdefault(f, [0, 0, 0, 0, 0])
-                    for j in range(5):
-                        v[j] += row[j]
-                        total[j] += row[j]
+                    follows = k + 1 < len(tok) and tok[k + 1][4]
+                    left = folded[k - 1] if joined and (named[k] or named[k - 1]) else ""
+                    right = folded[k + 1] if follows and (named[k] or named[k + 1]) else ""
+                    v = seen.setdefault((folded[k], left, right), [0, 0, 0, 0])
+                    v[0] += 1
+                    v[1] += w[0].islower()
+                    v[2] += w[0].isupper() and not fresh and not w[1:].isupper()
+                    v[3] += at < len(guard) and guard[at]
+                    total += 1
             if len(seen) > 300_000:
                 yield flush()
-                seen, total = {}, [0, 0, 0, 0, 0]
-                known.clear()
+                seen, total = {}, 0
         yield flush()
 
-    sums = docs.select("text").mapInPandas(count, "term string, n long, low long, caps long, guarded long, beside long").groupBy("term")
-    return sums.agg(*[F.sum(c).alias(c) for c in ("n", "low", "caps", "guarded", "beside")])
+    sums = docs.select("text").mapInPandas(count, "term string, left string, right string, n long, low long, caps long, guarded long")
+    return sums.groupBy("term", "left", "right").agg(*[F.sum(c).alias(c) for c in ("n", "low", "caps", "guarded")])
+
+
+def term_counts(pairs: DataFrame, given: frozenset[str] = _SEED) -> DataFrame:
+    """(term, n, low, caps, guarded, beside); beside: next to an initial or a known name. The term "" has the totals."""
+    shared = pairs.sparkSession.sparkContext.broadcast(given)
+
+    @F.pandas_udf("boolean")
+    def near(left: pd.Series, right: pd.Series) -> pd.Series:
+        known: dict[str, bool] = {"": False, ".": True}
+
+        def named(w: str) -> bool:
+            if w not in known:
+                known[w] = is_given(w, shared.value)
+            return known[w]
+
+        return pd.Series([named(x) or named(y) for x, y in zip(left, right)], index=left.index)
+
+    beside = F.sum(F.when(near("left", "right"), F.col("n")).otherwise(0)).alias("beside")
+    per = pairs.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "low", "caps", "guarded")], beside)
+    return per
 
 
 def judge(term: str, n: int, low: int, caps: int, guarded: int, beside: int, base: float) -> tuple[bool, float]:
@@ -203,8 +225,8 @@ def judge(term: str, n: int, low: int, caps: int, guarded: int, beside: int, bas
 
 def disclosing_terms(counts: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
     """(disclosure of the terms that name persons, common words)."""
-    total = counts.where("term = ''").first()
-    if total is None or not total.n:
+    total = counts.agg(F.max(F.when(F.col("term") == "", F.col("n"))).alias("n"), F.sum("beside").alias("beside")).first()
+    if not total.n:
         return {}, frozenset()
     floor = max(LEAST_COUNT, int(total.n * FLOOR_SHARE) + 1)
     base = min(0.5, max(1, total.beside) / total.n)
@@ -285,9 +307,10 @@ def detector(docs: DataFrame) -> tuple[dict[str, float], frozenset[str]]:
     """The disclosing terms and common words of a corpus."""
     names: dict[str, float] = {}
     common: frozenset[str] = frozenset()
+    pairs = written(co_occurrence(docs), "co-occurrence")  # the texts are read once, the rounds go over this table
     for _ in range(ROUNDS):
         before = set(names)
-        names, common = disclosing_terms(written(term_counts(docs, _SEED | frozenset(names)), "terms"))
+        names, common = disclosing_terms(written(term_counts(pairs, _SEED | frozenset(names)), "terms"))
         if set(names) <= before:
             break
     return names, common
@@ -315,7 +338,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", [F.col("doc_id").alias("id"), "text"])
+    return table(spark, sf_dir, "documents", [F.col("doc_id").alias("id"), "text"], spread=True)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
