@@ -27,7 +27,9 @@ def normalize_whitespace(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lower case, ё as е, Latin letters without accents."""
-    return F.translate(F.translate(F.lower(c), "ё", "е"), *LATIN_ACCENTS)
+    low = F.replace(F.lower(c), F.lit("ё"), F.lit("е"))
+    # character maps are slow: only for the few texts that have an accent
+    return F.when(low.rlike(f"[{LATIN_ACCENTS[0]}]"), F.translate(low, *LATIN_ACCENTS)).otherwise(low)
 
 
 def tokens(c: Column) -> Column:
@@ -36,7 +38,7 @@ def tokens(c: Column) -> Column:
 
 
 def search_terms(c: Column) -> Column:
-    return F.filter(F.coalesce(F.regexp_extract_all(F.translate(F.lower(c), "ё", "е"), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>")), lambda t: t.rlike(TERM))
+    return F.filter(F.coalesce(F.regexp_extract_all(F.replace(F.lower(c), F.lit("ё"), F.lit("е")), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>")), lambda t: t.rlike(TERM))
 
 
 def is_old_spelling(c: Column) -> Column:
