@@ -15,6 +15,10 @@ from tomeforge.functions.text import fingerprint, semantic_excerpt
 from tomeforge.operators.filters import SearchFilters, check_positive, filter_books
 
 
+#: Results of more rows than this are joined with a shuffle.
+BROADCAST_ROWS = 10_000
+
+
 class Embedder(ABC):
     """What turns texts into vectors; called with batches inside executors."""
 
@@ -152,6 +156,7 @@ def search_semantic(vectors: DataFrame, chunks: DataFrame, books: DataFrame, que
     check_positive("limit", limit)
     allowed = filter_books(books, filters or SearchFilters(), **tables).select(F.col("id").alias("book_id"), "source_path", "title", "author", "format_name")
     live = chunks.select(F.col("id").alias("chunk_id"), "book_id").join(allowed.select("book_id"), "book_id", "left_semi")
-    top = nearest(vectors.join(live, "chunk_id", "left_semi"), query, max(limit, candidates))
-    hits = chunks.withColumnRenamed("id", "chunk_id").join(F.broadcast(top), "chunk_id")
+    k = max(limit, candidates)
+    top = nearest(vectors.join(live, "chunk_id", "left_semi"), query, k)
+    hits = chunks.withColumnRenamed("id", "chunk_id").join(F.broadcast(top) if k <= BROADCAST_ROWS else top, "chunk_id")
     return hits.join(allowed, "book_id").withColumn("excerpt", semantic_excerpt(F.col("raw_text"))).orderBy(F.desc("score"), "chunk_id").limit(limit)
