@@ -172,10 +172,11 @@ def rank_walk(df: DataFrame, group: str, item: str, scores: dict[str, bool], at:
     )
     kinds = dict(rows.dtypes)
     schema = f"grp {kinds['grp']}, item {kinds['item']}, stationarity double, rank int"
-    large = [r.grp for r in rows.groupBy("grp").count().where(F.col("count") > small).select("grp").collect()]  # at most rows / small of them
-    out = _small_groups(rows.where(~F.col("grp").isin(large)) if large else rows, names, schema)
-    if large:
-        out = out.unionByName(_large_groups(rows.where(F.col("grp").isin(large)), names))
+    large = written(rows.groupBy("grp").count().where(F.col("count") > small).select("grp"), "walk-large")
+    if large.isEmpty():
+        out = _small_groups(rows, names, schema)
+    else:
+        out = _small_groups(rows.join(large, "grp", "left_anti"), names, schema).unionByName(_large_groups(rows.join(large, "grp", "left_semi"), names))
     return out.withColumnsRenamed({"grp": group, "item": item})
 
 
