@@ -53,6 +53,7 @@ _LABEL = r"(?:паспорт\w*|удостоверени\w+|ИНН|СНИЛС|Ж
 _MORE = r"(?:\s+(?:сери[ияй]|no\.?|number|номер\w*|№))*\s*[:№#]?\s*"
 _NUMBER = r"(?:[A-ZА-ЯЁ]{1,2}[ -]?)?\d[\d]*(?:[ -]\d+)*(?:[ ]?[A-Z])?"
 LABELLED = re.compile(rf"(?<!\w){_LABEL}{_MORE}({_NUMBER})(?!\w)", re.IGNORECASE)
+_CODE_SIGN = re.compile(r"[A-Z] ?\d\d|\d-\d{3}-\d")
 TAX_CODE = re.compile(r"(?<![\w-])\d{3}-\d{3}-\d{3}[ -]\d{2}(?![\w-])|(?<!\w)[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D](?!\w)|(?<!\w)[A-Z]\d{7}[A-Z](?!\w)")
 
 _CAP = r"[A-ZА-ЯЁӘҒҚҢӨҰҮҺІҖ][\w'’]*"
@@ -69,6 +70,7 @@ LINK = re.compile(r"https?://\S+")
 
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 SENTENCE = re.compile(r"[^!?\n;]+")
+_BORDER = re.compile(r"[.!?\n:]")
 PATRONYMIC = re.compile(r"[а-яё]{2,}(?:ович|евич|овна|евна|ична|инична)(?:а|у|ем|е|ы|ой|и)?")
 #: Endings of given names in other cases.
 _ENDINGS = ("у", "а", "е", "ю", "и", "ы", "ом", "ем", "ой", "ей", "ға", "ге", "ның", "нің", "га")
@@ -106,7 +108,8 @@ def protected(text: str) -> list[tuple[int, int, str]]:
             b -= 2  # a word of one letter that follows
         if sum(c.isdigit() for c in number) >= 5:
             found.append((a, b, "id_number"))
-    found += [(m.start(), m.end(), "id_number") for m in TAX_CODE.finditer(text)]
+    if _CODE_SIGN.search(text):
+        found += [(m.start(), m.end(), "id_number") for m in TAX_CODE.finditer(text)]
     for m in ADDRESS.finditer(text):
         end = m.end()
         if text[end - 1] == "." and not text[m.start() : end].lower().endswith(("ул.", "наб.")):
@@ -132,10 +135,14 @@ def tokens(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int,
     last_end, fresh = -1, True
     for m in WORD.finditer(masked):
         a, b, w = m.start(), m.end(), m.group()
+        if last_end >= 0 and len(w) > 2 and masked[last_end:a] == " ":  # the plain case
+            out.append((a, b, w, False, True, False))
+            last_end = b
+            continue
         initial = len(w) <= 2 and w[0].isupper() and masked[b : b + 1] == "." and (len(w) == 1 or w in ("Дж",))
         gap = masked[last_end:a] if last_end >= 0 else "\n"
         joined = last_end >= 0 and (gap.strip(" \t\xa0") == "" and len(gap) <= 3 and (gap != "" or bool(out) and out[-1][3]))
-        fresh = last_end < 0 or bool(re.search(r"[.!?\n:]", gap)) and not (bool(out) and out[-1][3] and joined)
+        fresh = last_end < 0 or bool(_BORDER.search(gap)) and not (bool(out) and out[-1][3] and joined)
         end = b + 1 if initial else b
         out.append((a, end, w, initial, joined, fresh))
         last_end = end
@@ -273,6 +280,8 @@ class Detector:
         kind = []
         for a, b, w, initial, joined, fresh in tok:
             kind.append("I" if initial else self._kind(fold(w)))
+        if "G" not in kind and "I" not in kind:
+            return []
         case = [w.isupper() and len(w) > 1 and "U" or w[0].isupper() and "C" or "L" for _, _, w, *_ in tok]
         out, k = [], 0
         while k < len(tok):
