@@ -315,7 +315,9 @@ def link_names(spellings: DataFrame, authority: DataFrame) -> DataFrame:
                     rows.append((field, name, entity, edits, variant))
             yield pd.DataFrame(rows, columns=["field", "name", "entity_id", "edits", "variant"]).astype({"entity_id": "int64", "edits": "int64", "variant": bool})
 
-    distinct = spellings.where(F.col("name").isNotNull()).select("field", "name").distinct()
+    # a fixed number of partitions: the few bytes of a spelling cost much work, which sizes do not show
+    width = max(2 * spellings.sparkSession.sparkContext.defaultParallelism, int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    distinct = spellings.where(F.col("name").isNotNull()).select("field", "name").distinct().repartition(width, F.xxhash64("name"))
     return distinct.mapInPandas(run, "field string, name string, entity_id long, edits long, variant boolean")
 
 
