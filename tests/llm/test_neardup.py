@@ -69,3 +69,30 @@ def test_empty(spark):
     df = spark.createDataFrame([], "id long, book_id long, raw_text string")
     rec = written(D.records(df, "id", "raw_text", ["book_id"]), "t")
     assert D.similar_classes(rec).count() == 0
+
+
+def linked(spark, texts, label="t"):
+    """Pairs of texts, by number, that similar_classes() links."""
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, book_id long, raw_text string").repartition(4)
+    rec = written(D.records(df, "id", "raw_text", ["book_id"]), label)
+    number = {D.class_of(D.word_hashes(t)): i for i, t in enumerate(texts)}
+    return {tuple(sorted((number[r.a], number[r.b]))) for r in D.similar_classes(rec).select("a", "b").collect()}
+
+
+def test_edited_group_of_a_third(spark, monkeypatch):
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    passage = [r.choice(vocab) for _ in range(50)]
+    for n in (600, 1500):
+        texts = []
+        for i in range(n // 3):  # two new words each, so no two are equal
+            w = list(passage)
+            for j, at in enumerate(r.sample(range(50), 2)):
+                w[at] = f"edit{i}x{j}"
+            texts.append(" ".join(w))
+        texts += [" ".join(r.choice(vocab) for _ in range(50)) for _ in range(n - len(texts))]
+        want = brute([(i, 0, t) for i, t in enumerate(texts)])
+        assert len(want) == (n // 3) * (n // 3 - 1) // 2
+        assert linked(spark, texts) == want
+    monkeypatch.setattr(D, "HEAVY", 100)
+    assert linked(spark, texts) == want

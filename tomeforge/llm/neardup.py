@@ -1,18 +1,17 @@
-"""Near-duplicate records with small edits: Order MinHash sketches, bucket joins, banded alignment.
+"""Near-duplicate records with small edits: exact set-similarity join of word sets, banded alignment.
 
 Every text becomes its sequence of lower-cased words (runs of letters and digits).  Texts with the same set of words
-form one class, so copies are sketched once.  Order MinHash: the k-mers of the word sequence are labelled by their
-occurrence; each of BANDS hash functions samples the PICK smallest of them and keeps them in text order as one bucket
-key.  K-mers that are common in the whole corpus (counted over all texts) are drawn only when nothing rarer is left,
-so formulaic phrases do not fill buckets.  Classes that meet in a bucket are candidates; each candidate pair is
-verified by banded alignment of the two word sequences and by the exact share of common words.
-
-A bucket of more than HEAVY classes never meets in one task: its members are spread over blocks and joined block by
-block.  Within a task a class writes its keys once, so a group of copies that holds a third of all rows sends one row
-per task and key.  Pairs of copies are written only by pairs(); classes() gives membership instead.
-
-The thresholds follow the definition of this project's cases (0.6 of single words), hence K = 3; for a similarity of
-0.8 on shingles of five words pass k=5, similarity=0.8.
+form one class, so copies are joined once.  All pairs of classes that share at least `similarity` of their distinct
+words are found, none by chance: with the words of every set in one order, rare ones first, two such sets share a word
+of their prefixes, and the words before the first shared one are all unshared, which bounds their number (positional
+filter).  A row per prefix word meets the others of that word; there the second shared word (again in a prefix, again
+bounded) and a bitmap of the words, whose distance cannot exceed that of the sets, leave the candidates.  Each candidate
+pair is verified by the exact share of common words, and gets the banded alignment of the two word sequences.
+
+The order comes from counts in COUNTERS buckets; it and HEAVY only affect the cost, any order gives the same pairs.
+A word in more than HEAVY texts never meets in one task: its rows are spread over blocks and joined block by block.
+Within a task a class writes its rows once, so a group of copies that holds a third of all rows sends one row per task
+and word.  Pairs of copies are written only by pairs(); classes() gives membership instead.
 
 Defined results: null texts and texts without a word are no record and get no class; a repeated id with the same text
 counts once, one with different texts is several records of that id, never paired with itself; ties have no influence;
@@ -31,15 +30,17 @@ from pyspark.sql import functions as F
 
 from tomeforge.runtime import table, written
 
-K = 3
-PICK = 2
-BANDS = 32
 SIMILARITY = 0.6
-HEAVY = 1000
-BLOCKS = 16
-#: Buckets of the k-mer counts, and the share of all texts above which a bucket is common.
+#: Rows of one word that meet in one task.
+HEAVY = 1 << 14
+#: Buckets of the word counts.
 COUNTERS = 1 << 18
-COMMON = 0.002
+#: Sets of more words meet by their first shared word alone, as rows of two would grow with the square of the length.
+LONG = 512
+#: 64-bit words of the bitmap of a set.
+BITMAP = 3
+#: Pairs looked at together.
+PAIRS = 1 << 19
 WORD = re.compile(r"[^\W_]+")
 BAND_WIDTH = 12
 
@@ -93,19 +94,6 @@ def records(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataF
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
-def _kmers(words: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(padded matrix of k-mer hashes without labels, number of k-mers per row)."""
-    n = np.array([max(1, len(w) - k + 1) for w in words])
-    width = int(n.max()) + k - 1
-    m = np.zeros((len(words), width), np.uint64)
-    for r, w in enumerate(words):
-        m[r, : len(w)] = np.asarray(w, np.int64).view(np.uint64)
-    h = m[:, : width - k + 1].copy()
-    for j in range(1, k):
-        h = _mix(h + np.uint64(j)) * np.uint64(31) + m[:, j : width - k + 1 + j]
-    return _mix(h), n
-
-
 def _by_length(words: list, cells: int = 1 << 19) -> Iterator[np.ndarray]:
     """Row numbers in batches of similar length, so that padding stays small and memory bounded."""
     size = np.array([len(w) for w in words])
@@ -118,78 +106,51 @@ def _by_length(words: list, cells: int = 1 << 19) -> Iterator[np.ndarray]:
         k = stop
 
 
-def common_kmers(rec: DataFrame, k: int) -> bytes:
-    """A bitmap of COUNTERS bits: which buckets of k-mers occur in more than COMMON of all texts. Its size is fixed."""
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (_mix(words.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % COUNTERS
+
+
+def _sets(words: list) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct words of all rows, their row), by row and word."""
+    flat = np.concatenate([np.asarray(w, np.int64) for w in words])
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    order = np.lexsort((flat, row))
+    flat, row = flat[order], row[order]
+    first = np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])
+    return flat[first], row[first]
+
+
+def word_counts(rec: DataFrame) -> np.ndarray:
+    """In how many texts the words of each of COUNTERS buckets occur, in steps of an eighth of a doubling. Its size is fixed."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = np.zeros(COUNTERS, np.int64), 0
+        total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            words = list(b["words"])
-            seen += len(words)
-            for rows in _by_length(words) if words else []:
-                h, n = _kmers([words[r] for r in rows], k)
-                inside = np.arange(h.shape[1])[None, :] < n[:, None]
-                total += np.bincount((h[inside] >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
-        # a bucket far below the threshold in this task adds nothing that could matter
-        at = np.flatnonzero(total > COMMON * seen / 8)
-        yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(total[at], seen)})
-
-    sums = rec.select("words").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    texts = F.max(F.when(F.col("bucket") == -1, F.col("n")))
-    sums = written(sums, "kmer-counts")
-    total = sums.agg(texts).first()[0] or 0
-    heavy = [r.bucket for r in sums.where((F.col("bucket") >= 0) & (F.col("n") > COMMON * total)).select("bucket").collect()]  # at most COUNTERS
-    bits = np.zeros(COUNTERS, bool)
-    bits[heavy] = True
-    return np.packbits(bits).tobytes()
-
-
-def sketch_keys(words: list[np.ndarray], k: int, pick: int, bands: int, common: np.ndarray) -> np.ndarray:
-    """rows x bands bucket keys."""
-    keys = np.empty((len(words), bands), np.uint64)
-    rng = np.random.default_rng(20240229)
-    salts, odds = rng.integers(0, 1 << 63, bands, dtype=np.uint64), rng.integers(0, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for rows in _by_length(words, 1 << 17):
-        h, n = _kmers([words[r] for r in rows], k)
-        inside = np.arange(h.shape[1])[None, :] < n[:, None]
-        often = common[(h >> np.uint64(40)).astype(np.int64) % COUNTERS]
-        top = np.where(inside, np.where(often, np.uint64(1 << 62), np.uint64(0)), np.uint64(1 << 63))
-        order = np.argsort(h, axis=1, kind="stable")
-        s = np.take_along_axis(h, order, axis=1)
-        again = np.zeros(s.shape, np.uint64)
-        repeated = (s[:, 1:] == s[:, :-1]) & np.take_along_axis(inside, order, axis=1)[:, 1:]
-        if repeated.any():  # label the second, third ... occurrence
-            for r in np.flatnonzero(repeated.any(axis=1)):
-                run = 0
-                for c in range(1, s.shape[1]):
-                    run = run + 1 if repeated[r, c - 1] else 0
-                    again[r, c] = run
-            label = np.empty_like(again)
-            np.put_along_axis(label, order, again, axis=1)
-            h = np.where(label > 0, _mix(h + label), h)
-        at = np.arange(len(rows))
-        for b in range(bands):
-            x = (((h ^ salts[b]) * odds[b]) >> np.uint64(2)) | top
-            picked = np.empty((len(rows), pick), np.int64)
-            for j in range(pick):
-                picked[:, j] = np.argmin(x, axis=1)
-                x[at, picked[:, j]] = np.uint64(0xFFFFFFFFFFFFFFFF)
-            picked.sort(axis=1)
-            key = np.full(len(rows), b + 1, np.uint64)
-            for j in range(pick):
-                valid = picked[:, j] < n
-                key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(valid, h[at, picked[:, j]], np.uint64(0)))
-            keys[rows, b] = key
-    return keys
-
-
-def buckets(rec: DataFrame, k: int, pick: int, bands: int) -> DataFrame:
-    """(key, class), each class once per task and key."""
-    spark = rec.sparkSession
-    bitmap = spark.sparkContext.broadcast(common_kmers(rec, k))  # COUNTERS / 8 bytes
+            if len(b):
+                total += np.bincount(_bucket(_sets(list(b["words"]))[0]), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
+
+    sums = rec.select("words").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS rows
+    steps = np.zeros(COUNTERS, np.uint8)
+    steps[sums["bucket"].to_numpy(np.int64)] = np.ceil(8 * np.log2(sums["n"].to_numpy(np.float64)))
+    return steps
+
+
+def _head(bitmap: int) -> np.dtype:
+    return np.dtype([("class", "<i8"), ("bits", "<u8", (bitmap,)), ("n", "<u4"), ("at", "<u4"), ("side", "u1")])
+
+
+def prefixes(rec: DataFrame, similarity: float) -> DataFrame:
+    """(key, row): a row for each prefix word of a class, each class once per task; a row for each pair of blocks if the word is heavy.
+
+    row: _head, then 16 bits of each later word that may be the second one shared.
+    """
+    steps = rec.sparkSession.sparkContext.broadcast(word_counts(rec).tobytes())  # COUNTERS bytes
+    heavy, bitmap, long = HEAVY, BITMAP, LONG
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
+        step = np.frombuffer(steps.value, np.uint8)
         seen: set[int] = set()
         for b in batches:
             fresh = []
@@ -200,66 +161,112 @@ def buckets(rec: DataFrame, k: int, pick: int, bands: int) -> DataFrame:
             if not fresh:
                 continue
             b = b.iloc[fresh]
-            keys = sketch_keys(list(b["words"]), k, pick, bands, common)
-            yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "class": np.repeat(b["class"].to_numpy(), bands)})
-
-    return rec.select("class", "words").mapInPandas(run, "key long, class long")
+            flat, row = _sets(list(b["words"]))
+            often = step[_bucket(flat)]
+            order = np.lexsort((flat, often, row))
+            flat, often = flat[order], often[order]
+            n = np.bincount(row, minlength=len(b))
+            start = np.concatenate([[0], np.cumsum(n)])
+            mixed = _mix(flat.view(np.uint64))
+            bits = np.zeros((len(b), bitmap), np.uint64)
+            place = (mixed % np.uint64(64 * bitmap)).astype(np.int64)
+            np.bitwise_or.at(bits, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+            spare = n - np.ceil(similarity * n - 1e-9).astype(np.int64)  # words another set may lack
+            at = np.arange(len(flat)) - start[row]
+            keep = np.flatnonzero(at <= spare[row])
+            own = row[keep]
+            blocks = np.maximum(1, np.ceil(np.exp2(often[keep] / 8) / heavy)).astype(np.int64)
+            home = (_mix(b["class"].to_numpy(np.int64).view(np.uint64)) >> np.uint64(7)).astype(np.int64)[own] % blocks
+            times = np.repeat(np.arange(len(keep)), blocks)
+            other = np.arange(len(times)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            mine, total = home[times], blocks[times]
+            cell = np.minimum(mine, other) * total + np.maximum(mine, other)
+            key = _mix(flat[keep][times].view(np.uint64) + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            head = np.zeros(len(times), _head(bitmap))
+            head["class"], head["bits"], head["n"], head["at"] = b["class"].to_numpy()[own][times], bits[own][times], n[own][times], at[keep][times]
+            head["side"] = np.where(mine == other, 2, mine > other)
+            later = (mixed >> np.uint64(48)).astype("<u2").tobytes()
+            stop = np.where(n[own] > long, keep + 1, np.minimum(start[own + 1], start[own] + spare[own] + 2))
+            rest = [later[2 * x + 2 : 2 * y] for x, y in zip(keep.tolist(), stop.tolist())]
+            raw, size = head.tobytes(), head.itemsize
+            for k in range(0, len(times), 1 << 15):
+                part = range(k, min(k + (1 << 15), len(times)))
+                yield pd.DataFrame({"key": key[part.start : part.stop], "row": [raw[i * size : i * size + size] + rest[t] for i, t in zip(part, times[k : part.stop].tolist())]})
+
+    return rec.select("class", "words").mapInPandas(run, "key long, row binary")
+
+
+def _meet(key: np.ndarray, rows: list[bytes], similarity: float, bitmap: int, long: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs a < b among rows of the same key; key is sorted."""
+    kind = _head(bitmap)
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    head = np.frombuffer(b"".join([r[: kind.itemsize] for r in rows]), kind)
+    later = np.frombuffer(b"".join([r[kind.itemsize :] for r in rows]), "<u2").astype(np.int64)
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    many = (size - kind.itemsize) // 2
+    n, at = head["n"].astype(np.int64), head["at"].astype(np.int64)
+    share = (1 - similarity) / (1 + similarity)  # two sets of n and m words differ in at most share * (n + m)
+    row = np.repeat(np.arange(len(rows)), many)
+    lost = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)  # unshared words before the second shared one
+    # sets that may share a single word, and those that may be near a long one, meet by the first word
+    alone = np.flatnonzero((n <= 1 / similarity + 1e-9) | (n >= similarity * long - 1e-9))
+    row, lost, later = np.concatenate([row, alone]), np.concatenate([lost, at[alone]]), np.concatenate([later, np.full(len(alone), 1 << 16)])
+    if not len(row):
+        return
+    # the sum of two of these is not positive where the unshared words are few enough; rounded down, so no pair is lost
+    excess = np.floor(64 * (lost - share * n[row]) - 1e-3).astype(np.int64)
+    group = group[row] * (1 << 17) + later
+    order = np.lexsort((excess, group))
+    group, excess, row = group[order], excess[order], row[order]
+    group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+    wide = int(np.abs(excess).max()) + 1
+    place = group * (2 * wide) + excess
+    count = np.maximum(0, np.searchsorted(place, group * (2 * wide) - excess, side="right") - np.arange(len(row)) - 1)
+    end = np.cumsum(count)
+    k = 0
+    bits, side, cls = np.ascontiguousarray(head["bits"].T), head["side"], head["class"]
+    while k < len(row):
+        base = end[k - 1] if k else 0
+        stop = max(k + 1, int(np.searchsorted(end, base + PAIRS, side="right")))
+        c = count[k:stop]
+        x = np.repeat(np.arange(k, stop), c)
+        y = x + 1 + np.arange(len(x)) - np.repeat(end[k:stop] - c - base, c)
+        x, y = row[x], row[y]
+        apart = np.zeros(len(x), np.int64)
+        for w in bits:
+            apart += np.bitwise_count(w[x] ^ w[y])
+        good = (apart <= share * (n[x] + n[y]) + 1e-6) & ((side[x] != side[y]) | (side[x] == 2))
+        a, b = cls[x[good]], cls[y[good]]
+        if len(a):
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            yield a[a != b], b[a != b]
+        k = stop
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """(a, b), a < b, distinct: classes that share a bucket."""
+def candidates(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, distinct: classes that may be similar. rows: of prefixes()."""
+    bitmap, long = BITMAP, LONG
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, members, heavy = None, np.empty(0, np.int64), False
-
-        def close(k, m) -> tuple[np.ndarray, np.ndarray]:
-            x, y = np.triu_indices(len(m), 1)
-            return m[x], m[y]
+        def met(keys: list, rows: list) -> Iterator[pd.DataFrame]:
+            for a, b in _meet(np.concatenate(keys), rows, similarity, bitmap, long):
+                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
+        keys, rows = [], []  # complete up to the last key
         for batch in batches:
-            k, c = batch["key"].to_numpy(), batch["class"].to_numpy()
+            k, r = batch["key"].to_numpy(), batch["row"].tolist()
             if not len(k):
                 continue
-            start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            stop = np.append(start[1:], len(k))
-            out_a, out_b, hot_k, hot_c = [], [], [], []
-            single = stop - start == 1
-            for i in np.flatnonzero(~single | (np.arange(len(start)) == 0) | (np.arange(len(start)) == len(start) - 1)):
-                here, own = k[start[i]], c[start[i] : stop[i]]
-                if here == key:
-                    own = own[own != members[-1]] if len(members) and own[0] == members[-1] else own
-                    members = np.concatenate([members, own])
-                else:
-                    if key is not None and len(members) > 1 and not heavy:
-                        x, y = close(key, np.unique(members))
-                        out_a.append(x)
-                        out_b.append(y)
-                    elif heavy and len(members):
-                        hot_k.append(np.full(len(members), key))
-                        hot_c.append(members)
-                    key, members, heavy = here, own, False
-                if len(members) > HEAVY and len(np.unique(members)) > HEAVY or heavy:
-                    hot_k.append(np.full(len(members), key))
-                    hot_c.append(members)
-                    members, heavy = members[-1:], True
-            if out_a:
-                yield pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "hot": False})
-            if hot_k:
-                yield pd.DataFrame({"a": np.concatenate(hot_k), "b": np.concatenate(hot_c), "hot": True})
-        if key is not None and len(members) > 1 and not heavy:
-            x, y = close(key, np.unique(members))
-            yield pd.DataFrame({"a": x, "b": y, "hot": False})
-
-    met = written(keys.repartition("key").sortWithinPartitions("key", "class").mapInPandas(run, "a long, b long, hot boolean").distinct(), "met")
-    pairs = met.where(~F.col("hot")).select("a", "b")
-    hot = met.where("hot").select(F.col("a").alias("key"), F.col("b").alias("class")).withColumn("block", F.pmod(F.xxhash64("class"), F.lit(BLOCKS)))
-    # every pair of blocks of a heavy bucket is a join key of its own
-    side = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    cell = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    x = side.select("key", *cell, F.col("class").alias("a"), F.col("block").alias("home"))
-    y = side.select("key", *cell, F.col("class").alias("b"), F.col("block").alias("home_b"))
-    blocked = x.join(y, ["key", "i", "j"]).where(F.col("a") < F.col("b")).where((F.col("i") == F.col("j")) | (F.col("home") != F.col("home_b"))).select("a", "b")
-    return pairs.unionByName(blocked.distinct()).distinct()
+            if k[-1] != (keys[0][0] if keys else k[0]):
+                cut = int(np.searchsorted(k, k[-1]))
+                yield from met([*keys, k[:cut]], rows + r[:cut])
+                keys, rows, k, r = [], [], k[cut:], r[cut:]
+            keys.append(k)
+            rows += r
+        if keys:
+            yield from met(keys, rows)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
 
 
 def banded_similarity(a: list[np.ndarray], b: list[np.ndarray], width: int = BAND_WIDTH) -> np.ndarray:
@@ -293,9 +300,9 @@ def banded_similarity(a: list[np.ndarray], b: list[np.ndarray], width: int = BAN
     return 1 - np.minimum(result, np.maximum(n, m)) / np.maximum(1, np.maximum(n, m))
 
 
-def similar_classes(rec: DataFrame, k: int = K, pick: int = PICK, bands: int = BANDS, similarity: float = SIMILARITY) -> DataFrame:
+def similar_classes(rec: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, word_similarity, edit_similarity) of classes of different word sets, a < b. rec: a written table of records()."""
-    met = candidates(buckets(rec, k, pick, bands))
+    met = written(candidates(prefixes(rec, similarity), similarity), "met")
     ids = met.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     texts = written(rec.select("class", "words").join(ids, "class", "left_semi").dropDuplicates(["class"]), "texts")
     both = met.join(texts.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
