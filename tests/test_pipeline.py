@@ -12,7 +12,7 @@ from tomeforge.operators.dedupe import decide
 from tomeforge.operators.taxonomy import classify
 from tomeforge.operators.upsert import keep_existing, upsert
 from tomeforge.schemas import BOOKS, CHUNKS, INDEX_STATE, SETTINGS
-from tomeforge.sources.files import extract, index_files, scan
+from tomeforge.sources.files import earlier_files, extract, index_files, scan
 from tomeforge.sources.formats import html_texts, ocr_status, order_pdf_blocks, parse, register, route
 from tomeforge.streaming.watch import BINARY, arrivals, consume, debounce_batch, debounce_stream, parse_payloads
 
@@ -140,6 +140,29 @@ def test_index_files(spark, tmp_path):
     assert extract(scan(spark, str(tmp_path)).limit(0)).count() == 0
 
 
+def test_duplicates_of_earlier_runs(spark, tmp_path):
+    body = "\n\nShared body for checking."
+    (tmp_path / "m.txt").write_text("Title: Text" + body, encoding="utf-8")
+    b, c, s = (spark.createDataFrame([], x) for x in (BOOKS, CHUNKS, INDEX_STATE))
+
+    def run(state):
+        _, _, new, results = index_files(scan(spark, str(tmp_path)), b, c, state, across_runs=True)
+        return spark.createDataFrame(new.collect(), INDEX_STATE), {os.path.basename(x.source_path): (x.status, x.reason) for x in results.collect()}
+
+    s, got = run(s)
+    assert got == {"m.txt": ("indexed", None)}
+    (tmp_path / "a.txt").write_text("Title: Text" + body, encoding="utf-8")
+    (tmp_path / "z.txt").write_text("Title: Other" + body, encoding="utf-8")
+    s, got = run(s)
+    assert got == {"a.txt": ("skipped", "binary-match"), "m.txt": ("skipped", "unchanged"), "z.txt": ("skipped", "normalized-content-match")}
+    (tmp_path / "m.txt").write_text("Title: Better" + body, encoding="utf-8")
+    _, got = run(s)  # the indexed path itself may change
+    assert {k: v[0] for k, v in got.items()} == {"a.txt": "skipped", "m.txt": "indexed", "z.txt": "skipped"}
+    state = spark.createDataFrame([("file:/gone.txt", "h1", None), ("file:/m.txt", "h2", "n2")], "source_path string, fingerprint string, normal_hash string")
+    good = spark.createDataFrame([("file:/new.txt", "h1", "n1"), ("file:/m.txt", "h3", "n3")], "source_path string, fingerprint string, normal_hash string")
+    assert [tuple(r) for r in earlier_files(good, state).collect()] == [("h1", "n1")]
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -87,7 +87,7 @@ def run(argv: list[str] | None = None) -> int:
         from tomeforge.runtime import written
         from tomeforge.sources.files import index_files
 
-        b, k, s, results = index_files(files, store.read("books", BOOKS), store.read("chunks", CHUNKS), store.read("index_state", INDEX_STATE))
+        b, k, s, results = index_files(files, store.read("books", BOOKS), store.read("chunks", CHUNKS), store.read("index_state", INDEX_STATE), across_runs=True)
         b, k, s, results = (written(x, "index") for x in (b, k, s, results))
         for name, df in (("books", b), ("chunks", k), ("index_state", s)):
             store.write(name, df)

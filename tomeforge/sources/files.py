@@ -66,29 +66,42 @@ def book_chunks(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVER
     return chunk_domains(domains(flat, "source_path"), "source_path", max_chars, overlap)
 
 
-def index_files(files: DataFrame, books: DataFrame, chunks: DataFrame, state: DataFrame, run_no: int = 0, skip_duplicates: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def earlier_files(good: DataFrame, state: DataFrame) -> DataFrame:
+    """(binary_hash, normal_hash) of the indexed files that are not in good; states of before the normalised hash get it from equal bytes."""
+    known = good.groupBy("fingerprint").agg(F.min("normal_hash").alias("same_bytes"))
+    rest = conform(state, INDEX_STATE).join(good.select("source_path"), "source_path", "left_anti").join(known, "fingerprint", "left")
+    return rest.select(F.col("fingerprint").alias("binary_hash"), F.coalesce("normal_hash", "same_bytes").alias("normal_hash"))
+
+
+def index_files(files: DataFrame, books: DataFrame, chunks: DataFrame, state: DataFrame, run_no: int = 0, skip_duplicates: bool = True, across_runs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """New (books, chunks, index_state) and the results (source_path, status, reason, error) of one run.
 
-    Unchanged files are skipped; duplicates are not indexed unless skip_duplicates is off.
+    Unchanged files are skipped; duplicates are not indexed unless skip_duplicates is off. across_runs: nor are duplicates
+    of files that earlier runs indexed under another path; an indexed path comes before a new one of the same content.
     """
     hashed = files.select("path", "modificationTime", "content").withColumn("source_path", F.col("path")).withColumn("fingerprint", F.sha2("content", 256))
     todo = changed(hashed, state)
     docs = extract(todo.select("path", "modificationTime", "content"))
     good = docs.where(F.col("error").isNull()).withColumn("normal_hash", content_hash(F.col("blocks")))
-    decided = decide(good.withColumnRenamed("fingerprint", "binary_hash"), "source_path").withColumnRenamed("binary_hash", "fingerprint")
+    order, history = F.col("source_path"), None
+    if across_runs:
+        indexed = state.select("source_path", F.lit(False).alias("new")).distinct()
+        good = good.join(indexed, "source_path", "left")
+        order, history = F.struct(F.coalesce("new", F.lit(True)), "source_path"), earlier_files(good, state)
+    decided = decide(good.withColumn("turn", order).withColumnRenamed("fingerprint", "binary_hash"), "source_path", order="turn", history=history).withColumnRenamed("binary_hash", "fingerprint")
     taken = decided.where(~F.col("is_duplicate")) if skip_duplicates else decided
     fresh = taken.withColumn("id", F.xxhash64("source_path")).withColumn("updated_at", F.current_timestamp())
     parts = book_chunks(taken).join(taken.select("source_path", "language"), "source_path")
     new_chunks = parts.select(
         chunk_id(F.col("source_path"), F.col("chunk_no"), F.col("text")).alias("id"), F.xxhash64("source_path").alias("book_id"), "chunk_no", F.col("text").alias("raw_text"), normal_text(F.col("text"), F.col("language")).alias("lemma_text"), "page", "chapter", "item_id", "char_start", "char_end"
     )
-    new_state = fresh.select("source_path", F.col("id").alias("book_id"), "fingerprint", "mtime_ns", F.col("updated_at").alias("indexed_at"), F.lit(run_no).alias("run_no"))
+    new_state = fresh.select("source_path", F.col("id").alias("book_id"), "fingerprint", "mtime_ns", F.col("updated_at").alias("indexed_at"), F.lit(run_no).alias("run_no"), "normal_hash")
     results = (
         decided.select("source_path", F.when(F.col("is_duplicate") & F.lit(skip_duplicates), "skipped").otherwise("indexed").alias("status"), "reason", F.lit(None).cast("string").alias("error"))
         .unionByName(docs.where(F.col("error").isNotNull()).select("source_path", F.lit("error").alias("status"), F.lit(None).cast("string").alias("reason"), "error"))
         .unionByName(hashed.join(todo.select("source_path"), "source_path", "left_anti").select("source_path", F.lit("skipped").alias("status"), F.lit("unchanged").alias("reason"), F.lit(None).cast("string").alias("error")))
     )
-    return upsert(books, conform(fresh, BOOKS), "source_path"), replace_group(chunks, conform(new_chunks, CHUNKS), "book_id"), upsert(state, conform(new_state, INDEX_STATE), "source_path"), results
+    return upsert(books, conform(fresh, BOOKS), "source_path"), replace_group(chunks, conform(new_chunks, CHUNKS), "book_id"), upsert(conform(state, INDEX_STATE), conform(new_state, INDEX_STATE), "source_path"), results
 
 
 def iter_chunks(chunks: DataFrame, books: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
