@@ -96,3 +96,21 @@ def test_edited_group_of_a_third(spark, monkeypatch):
         assert linked(spark, texts) == want
     monkeypatch.setattr(D, "HEAVY", 100)
     assert linked(spark, texts) == want
+
+
+def test_scattered_edits_and_short_texts(spark):
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(2000)]
+    texts = []
+    for step in (4, 5, 6):  # every 4th, 5th, 6th of 60 words changed: 0.60, 0.67, 0.71
+        for i in range(20):
+            w = r.sample(vocab, 60)
+            texts += [" ".join(w), " ".join(f"e{step}x{i}x{k}" if k % step == 1 else x for k, x in enumerate(w))]
+    for n in range(3, 13):
+        for i in range(5):
+            w = r.sample(vocab, n)
+            v = [*w[: n // 2], f"s{n}x{i}", *w[n // 2 :]]  # a word added, the rest in another order
+            texts += [" ".join(w), " ".join(v[::-1])]
+    want = brute([(i, 0, t) for i, t in enumerate(texts)])
+    assert len(want) >= 100
+    assert linked(spark, texts) == want
