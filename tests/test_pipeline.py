@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tomeforge.operators import chunking as C
 from tomeforge.operators import dialog, rag, timeline
 from tomeforge.operators.dedupe import decide
+from tomeforge.operators.sequence import running_sum, with_previous
 from tomeforge.operators.taxonomy import classify
 from tomeforge.operators.upsert import keep_existing, upsert
 from tomeforge.schemas import BOOKS, CHUNKS, INDEX_STATE, SETTINGS
@@ -41,13 +42,29 @@ def test_dedupe(spark):
     assert got == {"a": None, "b": "binary-match", "c": "normalized-content-match", "d": None, "e": "normalized-content-match"}
 
 
-def test_timeline():
-    one = lambda t: [(s["year_from"], s["year_to"], s["is_approximate"], s["confidence"]) for s in timeline.spans(t)]
-    assert one("1914-1918 и 1922–1917") == [(1914, 1918, False, 0.95), (1917, 1922, False, 0.95)]
-    assert one("в 1917 году, 42, 7") == [(1917, 1917, False, 0.9)] and one("1840-е годы") == [(1840, 1849, True, 0.7)]
-    assert one("XIX веке") == [(1801, 1900, True, 0.6)] and one("XX столетии") == [(1901, 2000, True, 0.6)] and one("XVIII–XIX вв.") == [(1701, 1900, True, 0.6)]
-    assert one("Около 1850 года") == [(1850, 1850, True, 0.9)] and one("") == []
-    assert timeline.spans("в XIX вв.")[0]["fragment"] == "XIX вв"
+def test_timeline(spark):
+    texts = ["1914-1918 и 1922–1917", "в 1917 году, 42, 7", "1840-е годы", "XIX веке", "XX столетии", "XVIII–XIX вв.", "Около 1850 года", "", "в XIX вв.", "1840е года", "1910-1920-1930", None, "x1917 19171 2030 XIXв", "1840-е 1920-1930"]
+    df = spark.createDataFrame([(k, 1, t, "x") for k, t in enumerate(texts)], "id int, book_id int, raw_text string, s string")
+    got = [[] for _ in texts]
+    for r in timeline.extract(df).collect():
+        got[r.chunk_id].append((r.year_from, r.year_to, r.is_approximate, r.confidence, r.source_fragment))
+    assert got[0] == [(1914, 1918, False, 0.95, "1914-1918"), (1917, 1922, False, 0.95, "1922–1917")] and got[1] == [(1917, 1917, False, 0.9, "1917")]
+    assert got[2] == [(1840, 1849, True, 0.7, "1840-е годы")] and got[3] == [(1801, 1900, True, 0.6, "XIX веке")] and got[4] == [(1901, 2000, True, 0.6, "XX столетии")]
+    assert got[5] == [(1701, 1900, True, 0.6, "XVIII–XIX вв")] and got[6] == [(1850, 1850, True, 0.9, "1850")] and got[7] == got[11] == got[12] == []
+    assert got[8] == [(1801, 1900, True, 0.6, "XIX вв")] and got[9] == [(1840, 1849, True, 0.7, "1840е года")] and [x[:2] for x in got[10]] == [(1910, 1920), (1930, 1930)]
+    assert [x[:2] for x in got[13]] == [(1840, 1849), (1920, 1930)] and timeline.extract(df.limit(0)).count() == 0
+
+
+def test_ranges_of_a_long_group(spark):
+    rows = [(d, k, (k * 7) % 5) for d in (1, None) for k in range(200) if k % 11]
+    df = spark.createDataFrame(rows, "d int, k int, v int")
+    for width in (1, 16, 1000):
+        out = running_sum(with_previous(df, ["d"], "k", ["v"], width=width), ["d"], "k", F.col("v"), "upto", width=width).collect()
+        assert len(out) == len(rows)
+        for d in (1, None):
+            own = sorted((r for r in out if r.d == d), key=lambda r: r.k)
+            assert [r.upto for r in own] == [sum(x.v for x in own[: i + 1]) for i in range(len(own))]
+            assert [r.previous and r.previous.v for r in own] == [None] + [x.v for x in own[:-1]]
 
 
 def test_classify(spark):

@@ -9,10 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no search intent, and stems of the collection's subject.
-STOPWORDS = (
-    "а без был была были быть в во вы где да для до его ее если же за и из или как когда кто ли мне мы на не но о об от по при про с со так то "
-    "только ты у уже что чтобы я здравствуйте подскажите пожалуйста давно пытаюсь понять можете помочь найти книге книгу автор подробно обычной ежедневной"
-).split()
+STOPWORDS = [
+    "а", "без", "был", "была", "были", "быть", "в", "во", "вы", "где", "да", "для", "до", "его",
+    "ее", "если", "же", "за", "и", "из", "или", "как", "когда", "кто", "ли", "мне", "мы", "на",
+    "не", "но", "о", "об", "от", "по", "при", "про", "с", "со", "так", "то", "только", "ты",
+    "у", "уже", "что", "чтобы", "я", "здравствуйте", "подскажите", "пожалуйста", "давно", "пытаюсь", "понять", "можете", "помочь", "найти",
+    "книге", "книгу", "автор", "подробно", "обычной", "ежедневной",
+]
 SUBJECT_STEMS = ["практ", "вниман", "наблюд", "мысл", "тишин", "медитац", "внутрен"]
 
 LONG_WORDS, LONG_CHARS, LEAST_CHARS, KEY_TERMS, SEARCH_TERMS = 18, 170, 4, 8, 3

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeforge.operators.sequence import running_sum, with_previous
+
 MAX_CHARS, OVERLAP_CHARS = 600, 120
 # Short forms after which a full stop ends no sentence.
-SHORT_FORMS = "г гг в вв т тт с стр ул д кв им проф акад др см ср напр рис табл гл ок руб коп млн млрд тыс mr mrs ms dr prof st vol no fig ed pp cf eg ie vs".split()
+SHORT_FORMS = [
+    "г", "гг", "в", "вв", "т", "тт", "с", "стр", "ул", "д", "кв", "им", "проф", "акад", "др", "см", "ср", "напр", "рис", "табл", "гл", "ок", "руб", "коп", "млн", "млрд", "тыс",
+    "mr", "mrs", "ms", "dr", "prof", "st", "vol", "no", "fig", "ed", "pp", "cf", "eg", "ie", "vs",
+]
 _END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s+|$)")
 
 
@@ -36,44 +43,38 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def windows(text: str, start: int, end: int, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[str, int, int]]:
-    """(text, char_start, char_end) of the chunks of one domain."""
+    """(text, char_start, char_end) of the chunks of one domain.
+
+    ends[k] is the length of the first k sentences, each with one blank behind it, so sentences i to j take
+    ends[j] - ends[i] - 1 characters when joined, and both borders of a window are found by bisection.
+    """
     if max_chars <= 0 or not 0 <= overlap < max_chars:
         raise ValueError("max_chars must be positive and the overlap smaller")
-    s = sentences(text)
-    out, k = [], 0
-    while k < len(s):
-        stop, size = k + 1, s[k][1] - s[k][0]
-        while stop < len(s) and size + 1 + s[stop][1] - s[stop][0] <= max_chars:
-            size += 1 + s[stop][1] - s[stop][0]
-            stop += 1
-        body = " ".join(text[a:b] for a, b in s[k:stop])
-        out.append((body, min(start + s[k][0], end), min(start + s[stop - 1][1], end)))
-        if stop >= len(s):
-            break
-        again, used = stop, 0
-        while again - 1 > k:
-            n = s[again - 1][1] - s[again - 1][0]
-            if used and used + 1 + n > overlap:
-                break
-            used += n + (1 if used else 0)
-            again -= 1
-            if used >= overlap:
-                break
-        k = again
+    found = sentences(text)
+    ends = list(accumulate((b - a + 1 for a, b in found), initial=0))
+    out: list[tuple[str, int, int]] = []
+    first = last = 0
+    while last < len(found):
+        last = max(first + 1, bisect_right(ends, ends[first] + max_chars + 1) - 1)
+        out.append((" ".join(text[a:b] for a, b in found[first:last]), min(start + found[first][0], end), min(start + found[last - 1][1], end)))
+        # the next window repeats at least one sentence, but never all of this one
+        repeated = min(last - 1, bisect_left(ends, ends[last] - 1 - overlap))
+        first = max(first + 1, repeated)
     return out
 
 
 def domains(blocks: DataFrame, doc: str = "doc_id", order: str = "block_no") -> DataFrame:
     """(doc, domain_no, page, chapter, item_id, text, char_start, char_end): consecutive blocks of one locator joined.
 
-    A document is one row's worth of blocks, so its window is bounded by the document.
+    Blocks are compared and numbered range by range of their order, so a document of any length is spread over tasks;
+    what one task joins is a domain, the blocks of one locator.
     """
-    w = Window.partitionBy(doc).orderBy(order)
-    same = F.lit(True)
-    for c in ("page", "chapter", "item_id"):
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-    first = F.row_number().over(w) == 1
-    marked = blocks.withColumn("_new", (first | ~same).cast("int")).withColumn("domain_no", F.sum("_new").over(w))
+    places = ["page", "chapter", "item_id"]
+    seen = with_previous(blocks, [doc], order, places)
+    same = F.col("previous").isNotNull()
+    for c in places:
+        same = same & F.col(c).eqNullSafe(F.col(f"previous.{c}"))
+    marked = running_sum(seen.withColumn("_new", (~same).cast("int")).drop("previous"), [doc], order, F.col("_new"), "domain_no")
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"), F.col("char_start").alias("s"))))
     grouped = marked.groupBy(doc, "domain_no").agg(F.first("page").alias("page"), F.first("chapter").alias("chapter"), F.first("item_id").alias("item_id"), rows.alias("r"), F.max("char_end").alias("last"))
     text = F.concat_ws(" ", F.filter(F.col("r.t"), lambda t: F.coalesce(t, F.lit("")) != ""))
@@ -90,9 +91,10 @@ def chunk_domains(found: DataFrame, doc: str = "doc_id", max_chars: int = MAX_CH
     def cut(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
         return pd.Series([[{"text": t, "char_start": a, "char_end": b} for t, a, b in windows(x or "", int(s), int(e), max_chars, overlap)] for x, s, e in zip(text, start, end)], index=text.index)
 
-    parts = found.select(doc, "domain_no", "page", "chapter", "item_id", F.posexplode(cut("text", "char_start", "char_end")).alias("part", "c"))
-    no = F.row_number().over(Window.partitionBy(doc).orderBy("domain_no", "part")) - 1
-    return parts.withColumn("chunk_no", no).select(doc, "chunk_no", F.col("c.text").alias("text"), "page", "chapter", "item_id", F.col("c.char_start").alias("char_start"), F.col("c.char_end").alias("char_end"))
+    cuts = found.select(doc, "domain_no", "page", "chapter", "item_id", cut("text", "char_start", "char_end").alias("parts"))
+    numbered = running_sum(cuts, [doc], "domain_no", F.size("parts"), "_upto")
+    parts = numbered.select(doc, "page", "chapter", "item_id", (F.col("_upto") - F.size("parts")).alias("_first"), F.posexplode("parts").alias("part", "c"))
+    return parts.select(doc, (F.col("_first") + F.col("part")).cast("int").alias("chunk_no"), F.col("c.text").alias("text"), "page", "chapter", "item_id", F.col("c.char_start").alias("char_start"), F.col("c.char_end").alias("char_end"))
 
 
 def chunk_id(path, no, text):

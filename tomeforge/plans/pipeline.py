@@ -12,7 +12,7 @@ from tomeforge.operators.dialog import active_sessions, book_line, read_history
 from tomeforge.operators.dialog import book_page as page_of_books
 from tomeforge.operators.rag import distinct_sources, prompt, select_context, sufficient
 from tomeforge.operators.taxonomy import MIN_SCORE, THESAURUS, TOP_N, book_sample, classify
-from tomeforge.operators.timeline import extract, overlapping, years
+from tomeforge.operators.timeline import CENTURY_WORDS, extract, numerals, overlapping
 from tomeforge.operators.upsert import keep_existing, last_n, upsert
 from tomeforge.plans.incremental import committed_files
 from tomeforge.runtime import table
@@ -82,11 +82,11 @@ def timeline_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def timeline_years(spark: SparkSession, d: str) -> DataFrame:
-    return years(_chunks(spark, d, "id", "book_id", "raw_text")).groupBy("book_id", "year_from").agg(F.count(F.lit(1)).alias("n"))
+    return extract(_chunks(spark, d, "id", "book_id", "raw_text")).groupBy("book_id", "year_from").agg(F.count(F.lit(1)).alias("n"))
 
 
 def timeline_overlap(spark: SparkSession, d: str) -> DataFrame:
-    events = years(_chunks(spark, d, "id", "book_id", "raw_text")).withColumns({"confidence": F.lit(0.9), "event_text": F.col("year_from").cast("string")})
+    events = extract(_chunks(spark, d, "id", "book_id", "raw_text"))
     return overlapping(events, table(spark, d, "books", ["id", "title", "author"]), 1700, 1725).select("book_id", "chunk_id", "year_from", "title")
 
 
@@ -177,7 +177,27 @@ _RES = """WITH h AS (SELECT DISTINCT query_id, query_text, source_path, title, a
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, chunk_id) AS rank FROM h)"""
 _ANSWER_LOC = "CASE WHEN page IS NOT NULL THEN 'стр. ' || page ELSE 'позиция ' || (greatest(chunk_no, 0) + 1) END"
 _HASH = "WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS b, sha256(lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS n FROM documents)"
-_YEARS = "SELECT book_id, id AS chunk_id, unnest(list_filter(regexp_extract_all(raw_text, '[\\p{L}\\p{N}_]+'), lambda t: regexp_full_match(t, '1[0-9]{3}|20[0-2][0-9]')))::INT AS year_from FROM chunks"
+_ROMANS = repr(numerals())
+_NUMERAL = f"list_position({_ROMANS}, upper(r[i + %d]))"
+_WORDED = f"(regexp_full_match(coalesce(r[i + %d], ''), '\\s+') AND regexp_full_match(lower(coalesce(r[i + %d], '')), '{CENTURY_WORDS}'))"
+_YEAR = "CASE WHEN regexp_full_match(coalesce(r[i + %d], ''), '1[0-9]{3}|20[0-2][0-9]') THEN r[i + %d]::INT END"
+_DECADE_TAIL = "(regexp_full_match(coalesce(r[i + %d], ''), '[\\s-]+') AND lower(coalesce(r[i + %d], '')) IN ('год', 'года', 'годы'))"
+#: Spans by the rules of the operator, each classified by its neighbours; overlaps go by the parity of chains of ranges.
+_SPANS = f"""t AS (SELECT book_id, id, regexp_extract_all(raw_text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS r FROM chunks),
+p AS (SELECT book_id, id, r, unnest(list_filter(range(1, len(r) + 1), lambda i: regexp_full_match(r[i], '[0-9]{{4}}[еЕ]?|[IVXivx]+'))) AS i FROM t),
+v AS (SELECT *, {_YEAR % (0, 0)} AS a, {_YEAR % (2, 2)} AS b, {_NUMERAL % 0} AS c, {_NUMERAL % 2} AS d, trim(coalesce(r[i + 1], ''), chr(32) || chr(9) || chr(10) || chr(13)) IN ('-', '–', '—') AS dash,
+ CASE WHEN regexp_full_match(r[i], '1[0-9]{{2}}0[еЕ]') THEN r[i][1:4]::INT END AS e FROM p),
+k AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND dash THEN 'range' WHEN a < 2000 AND a % 10 = 0 AND r[i + 1] IN ('-', '–') AND lower(coalesce(r[i + 2], '')) = 'е' THEN 'dashed'
+ WHEN e IS NOT NULL THEN 'joined' WHEN a IS NOT NULL THEN 'year' WHEN c > 0 AND d > 0 AND dash AND {_WORDED % (3, 4)} THEN 'centuries' WHEN c > 0 AND {_WORDED % (1, 2)} THEN 'century' END AS kind FROM v),
+l AS (SELECT *, coalesce(lag(kind) OVER w = 'range' AND lag(i) OVER w = i - 2, false) AS linked, coalesce(lag(kind) OVER w = 'centuries' AND lag(i) OVER w = i - 2, false) AS second FROM k WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT *, sum((NOT linked)::INT) OVER (PARTITION BY id ORDER BY i) AS island FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY id, island ORDER BY i) - 1 AS chain FROM g),
+s AS (SELECT *, CASE kind WHEN 'range' THEN 3 WHEN 'dashed' THEN CASE WHEN {_DECADE_TAIL % (3, 4)} THEN 5 ELSE 3 END WHEN 'joined' THEN CASE WHEN {_DECADE_TAIL % (1, 2)} THEN 3 ELSE 1 END WHEN 'year' THEN 1 WHEN 'centuries' THEN 5 ELSE 3 END AS size FROM n WHERE chain % 2 = 0 AND NOT second),
+spans AS (SELECT book_id, id AS chunk_id, (CASE kind WHEN 'range' THEN least(a, b) WHEN 'joined' THEN e WHEN 'centuries' THEN c * 100 - 99 WHEN 'century' THEN c * 100 - 99 ELSE a END)::INT AS year_from,
+ (CASE kind WHEN 'range' THEN greatest(a, b) WHEN 'dashed' THEN a + 9 WHEN 'joined' THEN e + 9 WHEN 'centuries' THEN d * 100 WHEN 'century' THEN c * 100 ELSE a END)::INT AS year_to,
+ (CASE kind WHEN 'dashed' THEN a WHEN 'joined' THEN e END)::INT AS decade, (CASE WHEN kind IN ('century', 'centuries') THEN c END)::INT AS century, array_to_string(r[i:i + size - 1], '') AS event_text, array_to_string(r[i:i + size - 1], '') AS source_fragment,
+ kind IN ('dashed', 'joined', 'century', 'centuries') OR list_has_any(regexp_extract_all(lower(right(CASE WHEN i > 1 THEN array_to_string(r[greatest(1, i - 30):i - 1], '') ELSE '' END, 30)), '[\\p{{L}}\\p{{N}}_]+'), ['около', 'примерно', 'приблизительно']) AS is_approximate,
+ (CASE kind WHEN 'range' THEN 0.95 WHEN 'year' THEN 0.9 WHEN 'dashed' THEN 0.7 WHEN 'joined' THEN 0.7 ELSE 0.6 END)::DOUBLE AS confidence FROM s)"""
 _WORDS = " UNION ALL ".join(f"SELECT {pos} AS pos, {c} AS category_id, '{n}' AS name, '{w}' AS word" for pos, (c, n, ws) in enumerate(THESAURUS) for w in dict.fromkeys(x.lower() for x in ws))
 _CLASSIFY = f"""WITH k AS ({_WORDS}), s AS (SELECT book_id, chunk_no, raw_text, row_number() OVER (PARTITION BY book_id ORDER BY chunk_no) AS rn FROM chunks),
 t AS (SELECT book_id, list_distinct(regexp_extract_all(lower(string_agg(raw_text, ' ' ORDER BY chunk_no)), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM s WHERE rn <= 20 GROUP BY book_id),
@@ -199,8 +219,10 @@ SELECT DISTINCT f.source_path, lower(f.fingerprint) AS fingerprint FROM file_sca
     "index_state_latest": "SELECT source_path, run_no, mtime_ns, book_id FROM (SELECT *, row_number() OVER (PARTITION BY source_path ORDER BY run_no DESC, mtime_ns DESC, book_id DESC) AS rn FROM index_state) WHERE rn = 1",
     "classify_topn": f"{_CLASSIFY} SELECT book_id, category_id, name, round(score, 9) AS score FROM z WHERE rn <= {TOP_N}",
     "books_by_category": f"{_CLASSIFY} SELECT category_id, count(*) AS n_books, min(book_id) AS first_book FROM z WHERE rn <= {TOP_N} GROUP BY category_id",
-    "timeline_years": f"SELECT book_id, year_from, count(*) AS n FROM ({_YEARS}) GROUP BY book_id, year_from",
-    "timeline_overlap": f"SELECT y.book_id, chunk_id, year_from, title FROM ({_YEARS}) y JOIN books b ON b.id = y.book_id WHERE year_from BETWEEN 1700 AND 1725 ORDER BY year_from, y.book_id, chunk_id LIMIT 50",
+    "timeline_spans": f"WITH {_SPANS} SELECT * FROM spans",
+    "timeline_years": f"WITH {_SPANS} SELECT book_id, year_from, count(*) AS n FROM spans GROUP BY book_id, year_from",
+    "timeline_overlap": f"""WITH {_SPANS} SELECT s.book_id, chunk_id, year_from, title FROM spans s JOIN books b ON b.id = s.book_id
+WHERE year_from <= 1725 AND year_to >= 1700 ORDER BY year_from, confidence DESC, s.book_id, chunk_id, event_text LIMIT 50""",
     "rag_context": f"""{_RES}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(source_path) ORDER BY rank) AS rd, min(rank) OVER (PARTITION BY query_id, lower(source_path)) AS fr, length(trim(excerpt)) + 140 AS cost FROM r),
 o AS (SELECT *, row_number() OVER w AS no, sum(cost) OVER w AS used FROM s WHERE rd <= 2 WINDOW w AS (PARTITION BY query_id ORDER BY rd, fr)),
 c AS (SELECT *, max(CASE WHEN (no > 1 AND used > 1200) OR no > 8 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY no) AS cut FROM o)

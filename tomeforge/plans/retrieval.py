@@ -11,8 +11,9 @@ from tomeforge.operators.filters import SearchFilters, filter_books
 from tomeforge.operators.fulltext import B, K1, LEMMA_WEIGHT, RAW_WEIGHT, build_postings, rank_chunks, rank_postings, search_text
 from tomeforge.operators.hybrid import above, exact_match, first_per_item, fuse, rerank_score, search_hybrid
 from tomeforge.operators.taxonomy import THESAURUS, book_sample, classify
-from tomeforge.operators.timeline import years
+from tomeforge.operators.timeline import extract
 from tomeforge.operators.vectors import HashingEmbedder, embed, live_vectors, nearest, nearest_blockwise, pending_chunks
+from tomeforge.plans.pipeline import _SPANS
 from tomeforge.plans.texts import tok_sql
 from tomeforge.runtime import table
 
@@ -56,7 +57,7 @@ def search_tag(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_year(spark: SparkSession, d: str) -> DataFrame:
-    return filter_books(_books(spark, d), SearchFilters(year_from=1905, year_to=1910), timeline=years(table(spark, d, "chunks", ["id", "book_id", "raw_text"], spread=True))).select("id")
+    return filter_books(_books(spark, d), SearchFilters(year_from=1905, year_to=1910), timeline=extract(table(spark, d, "chunks", ["id", "book_id", "raw_text"], spread=True))).select("id")
 
 
 def search_category(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +201,7 @@ ORACLES = {
     "search_format": "SELECT id, format_name FROM books WHERE lower(coalesce(format_name, '')) = 'pdf'",
     "search_language": "SELECT id, language FROM books WHERE lower(coalesce(language, '')) = 'kk'",
     "search_tag": "SELECT id, source_path FROM books WHERE lower(string_split(source_path, '/')[3]) = 'upload'",
-    "search_year": "SELECT id FROM books WHERE EXISTS (SELECT 1 FROM (SELECT book_id, unnest(list_filter(regexp_extract_all(raw_text, '[\\p{L}\\p{N}_]+'), lambda t: regexp_full_match(t, '1[0-9]{3}|20[0-2][0-9]'))) AS y FROM chunks) t WHERE t.book_id = books.id AND y::INT BETWEEN 1905 AND 1910)",
+    "search_year": f"WITH {_SPANS} SELECT id FROM books WHERE id IN (SELECT book_id FROM spans WHERE year_from <= 1910 AND year_to >= 1905)",
     "search_category": f"""WITH s AS (SELECT book_id, raw_text, row_number() OVER (PARTITION BY book_id ORDER BY chunk_no) AS rn FROM chunks),
 w AS (SELECT DISTINCT book_id, unnest(regexp_extract_all(lower(raw_text), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM s WHERE rn <= 20)
 SELECT id FROM books WHERE id IN (SELECT book_id FROM w WHERE word IN ({', '.join(repr(x) for c, _, ws in THESAURUS if c in (1, 4) for x in ws)}))""",
