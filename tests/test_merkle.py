@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tomeforge.operators.merkle import IncrementalStore, TreeShape, build_tree, changed_leaves, changes, snapshot
+from tomeforge.operators.merkle import IncrementalStore, Superseded, TreeShape, build_tree, changed_leaves, changes, snapshot
 
 SHAPE = TreeShape(8, 4)
 
@@ -28,7 +28,7 @@ def test_changes_against_brute_force(spark):
 
 
 def test_store_survives_failures(spark, tmp_path):
-    store = IncrementalStore(spark, f"file://{tmp_path}/store", SHAPE)
+    store = IncrementalStore(spark, f"file://{tmp_path}/store")
     first = table(spark, [("a", "1", 0), ("b", "1", 0)])
     assert sorted(r.key for r in store.run(first, lambda p: p.select("key")).collect()) == ["a", "b"]
     second = table(spark, [("a", "2", 0), ("b", "1", 0), ("c", "1", 0)])
@@ -41,3 +41,42 @@ def test_store_survives_failures(spark, tmp_path):
     assert store.current()["version"] == 1
     assert sorted(r.key for r in store.run(second, lambda p: p.select("key")).collect()) == ["a", "c"]
     assert store.run(second, lambda p: p.select("key")).count() == 0 and store.current()["version"] == 3
+    assert store.vacuum(keep=1, older_than_seconds=-1) == 3 and store.pending(second).count() == 0
+
+
+def test_record_that_arrives_during_a_run_waits_for_the_next(spark, tmp_path):
+    store, folder = IncrementalStore(spark, f"file://{tmp_path}/store"), f"{tmp_path}/in"
+    spark.createDataFrame([("a", "1")], "key string, digest string").write.parquet(folder)
+    rows = lambda: spark.read.schema("key string, digest string").parquet(folder)
+
+    def slow(pending):
+        spark.createDataFrame([("late", "1")], "key string, digest string").write.mode("append").parquet(folder)
+        return pending.select("key")
+
+    assert [r.key for r in store.run(rows(), slow).collect()] == ["a"]
+    assert [r.key for r in store.run(rows(), lambda p: p.select("key")).collect()] == ["late"]
+
+
+def test_two_runs_from_one_version(spark, tmp_path):
+    store = IncrementalStore(spark, f"file://{tmp_path}/store")
+    one, two = table(spark, [("a", "1", 0)]), table(spark, [("b", "1", 0)])
+
+    def overtaken(pending):
+        IncrementalStore(spark, store.path).run(two, lambda p: p.select("key"))
+        return pending.select("key")
+
+    with pytest.raises(Superseded):
+        store.run(one, overtaken)
+    assert [r.key for r in store.output().collect()] == ["b"]
+
+
+def test_growing_snapshot_changes_its_tree(spark, tmp_path):
+    store = IncrementalStore(spark, f"file://{tmp_path}/store")
+    assert store.run(table(spark, []), lambda p: p.select("key")).count() == 0
+    small, large = [(f"k{i}", "1", 0) for i in range(50)], [(f"k{i}", "1", 0) for i in range(5000)] + [("k7777", None, 0)]
+    assert store.run(table(spark, small), lambda p: p.select("key")).count() == 50
+    assert store.run(table(spark, large), lambda p: p.select("key")).count() == 4951
+    before = store.current()["leaf_bits"]
+    changed = [(k, "2" if k in ("k3", "k7777") else d, n) for k, d, n in large if k != "k9"]
+    got = {(r.key, r.change) for r in store.pending(table(spark, changed)).collect()}
+    assert got == {("k3", "changed"), ("k7777", "changed"), ("k9", "removed")} and before > 4

@@ -2,11 +2,16 @@
 
 A snapshot is a DataFrame of one row per key with a content digest.  The 64-bit hash of the key is the key space; a
 leaf is one of ``2**leaf_bits`` equal ranges of it, so a prefix shared by a third of all keys still spreads over all
-leaves.  A leaf's digest covers every (key, digest) row of its range, a parent's digest covers its children's digests.
-Two snapshots are compared from the root down; only children of differing nodes are looked at, and only rows of
-differing leaves are compared one by one.  Output and tree of a run are published together: both are written under a
-new version folder and one pointer file is then moved into place, so a run that dies in between leaves the previous
-version current and the next run processes exactly the same changes again.
+leaves.  The number of leaves follows the number of rows (about ROWS_PER_LEAF each), so a few changes touch a small
+share of the rows at every size; it has no influence on what is found.  A leaf's digest covers every (key, digest) row
+of its range, a parent's digest its children's.  Two snapshots are compared from the root down; only children of
+differing nodes are looked at, and only rows of differing leaves are compared one by one.  Stored rows are kept in
+folders of leaf ranges, sorted by leaf, so only the folders and row groups of differing leaves are read.
+
+A run first writes the rows it was given; output, snapshot and tree all come from that copy, so a row that arrives
+meanwhile is in none of them and waits for the next run.  All three are published together: version n becomes current
+by the exclusive creation of one file that names its folder.  A run that dies before leaves the previous version
+current, and the next run processes exactly the same changes again; of two runs from one version the second one fails.
 
 Defined results: rows with a null key have no identity and are left out; a null digest is a value of its own; exact
 duplicates of a row count once; of several rows of one key the greatest digest counts; an empty snapshot has an empty
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +30,15 @@ from pyspark.sql import functions as F
 
 from tomeforge.runtime import delete_path
 
+ROWS_PER_LEAF = 16
+TREE = "level int, node long, n long, hash string"
+#: Leaves one folder of stored rows holds, as a power of two.
+FOLDER_BITS = 12
+
+
+class Superseded(RuntimeError):
+    """Another run has published a version meanwhile."""
+
 
 @dataclass(frozen=True)
 class TreeShape:
@@ -40,6 +55,16 @@ class TreeShape:
     def depth(self) -> int:
         return self.leaf_bits // self.fan_bits
 
+    @property
+    def folder_shift(self) -> int:
+        """How far a leaf's number is shifted to give its folder."""
+        return min(self.leaf_bits, FOLDER_BITS)
+
+    @classmethod
+    def for_rows(cls, n: int, fan_bits: int = 4) -> TreeShape:
+        bits = max(1, (max(1, n) // ROWS_PER_LEAF).bit_length())
+        return cls(min(40 // fan_bits * fan_bits, -(-bits // fan_bits) * fan_bits), fan_bits)
+
 
 def snapshot(df: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, digest), one row per non-null key."""
@@ -81,24 +106,35 @@ def build_tree(rows: DataFrame, shape: TreeShape = TreeShape()) -> DataFrame:
 
 
 def changed_leaves(current: DataFrame, saved: DataFrame, shape: TreeShape = TreeShape()) -> DataFrame:
-    """The leaves (column leaf) whose digests differ, found by descending only below differing nodes."""
+    """The leaves (column leaf) whose digests differ, found by descending only below differing nodes.
+
+    Both trees are written tables.  A level reads the level above once, so the plan grows with the depth alone.
+    """
+    both = current.select("level", "node", F.col("hash").alias("now"), F.lit(None).cast("string").alias("then")).unionByName(saved.select("level", "node", F.lit(None).cast("string").alias("now"), F.col("hash").alias("then")))
     frontier: DataFrame | None = None
     for level in range(shape.depth + 1):
-        a = current.where(F.col("level") == level).select("node", F.col("hash").alias("now"))
-        b = saved.where(F.col("level") == level).select("node", F.col("hash").alias("then"))
-        if frontier is not None:  # at most 2**leaf_bits rows whatever the data
-            parents = frontier.select(F.col("node").alias("parent"))
-            a = a.join(F.broadcast(parents), F.shiftrightunsigned(a["node"], shape.fan_bits) == F.col("parent"), "left_semi")
-            b = b.join(F.broadcast(parents), F.shiftrightunsigned(b["node"], shape.fan_bits) == F.col("parent"), "left_semi")
-        frontier = a.join(b, "node", "full_outer").where(~F.col("now").eqNullSafe(F.col("then"))).select("node")
+        rows = both.where(F.col("level") == level)
+        if frontier is not None:
+            rows = rows.join(frontier.select(F.col("node").alias("parent")), F.shiftrightunsigned("node", shape.fan_bits) == F.col("parent"), "left_semi")
+        frontier = rows.groupBy("node").agg(F.max("now").alias("now"), F.max("then").alias("then")).where(~F.col("now").eqNullSafe(F.col("then"))).select("node")
     return frontier.withColumnRenamed("node", "leaf")
 
 
 def changes(current: DataFrame, saved: DataFrame, leaves: DataFrame, shape: TreeShape = TreeShape()) -> DataFrame:
-    """(key, digest, saved_digest, change) of the rows in the given leaves; change is new, changed or removed."""
-    keep = F.broadcast(leaves)  # at most 2**leaf_bits numbers
-    now = with_leaf(current, shape).join(keep, "leaf", "left_semi").select("key", "digest", F.lit(True).alias("here"))
-    then = with_leaf(saved, shape).join(keep, "leaf", "left_semi").select("key", F.col("digest").alias("saved_digest"), F.lit(True).alias("there"))
+    """(key, digest, saved_digest, change) of the rows in the given leaves; change is new, changed or removed.
+
+    Snapshots stored by store_rows() are read only in the folders of the leaves; the planner decides whether the leaves
+    are few enough to be sent to all tasks.
+    """
+    keep = leaves.withColumn("folder", _folder(F.col("leaf"), shape))
+
+    def inside(rows: DataFrame) -> DataFrame:
+        if "folder" in rows.columns:
+            return rows.join(keep, ["folder", "leaf"], "left_semi")
+        return with_leaf(rows, shape).join(keep, "leaf", "left_semi")
+
+    now = inside(current).select("key", "digest", F.lit(True).alias("here"))
+    then = inside(saved).select("key", F.col("digest").alias("saved_digest"), F.lit(True).alias("there"))
     both = now.join(then, "key", "full_outer")
     return both.select(
         "key",
@@ -108,52 +144,129 @@ def changes(current: DataFrame, saved: DataFrame, leaves: DataFrame, shape: Tree
     ).where(F.col("change").isNotNull())
 
 
+def _folder(leaf, shape: TreeShape):
+    return F.shiftrightunsigned(leaf, shape.folder_shift).cast("int")
+
+
+def store_rows(rows: DataFrame, path: str, shape: TreeShape) -> None:
+    """A snapshot by folders of leaf ranges, sorted by leaf: a filter on leaves skips the other folders and row groups."""
+    placed = with_leaf(rows.select("key", "digest"), shape).withColumn("folder", _folder(F.col("leaf"), shape))
+    placed.repartition("folder").sortWithinPartitions("folder", "leaf").write.partitionBy("folder").parquet(path)
+
+
 class IncrementalStore:
     """A folder that holds, per successful run, the run's output, the snapshot it covered and that snapshot's tree."""
 
-    def __init__(self, spark: SparkSession, path: str, shape: TreeShape = TreeShape()):
-        self.spark, self.path, self.shape = spark, path.rstrip("/"), shape
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_CURRENT")
-        return jvm, p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        jvm, fs = self._fs()
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_published")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()) if fs.exists(folder) else []
 
     def current(self) -> dict | None:
-        _, pointer, fs = self._fs()
-        if not fs.exists(pointer):
+        """The latest published version: version, folder, leaf_bits and fan_bits of its tree; None before the first."""
+        versions = self._versions()
+        if not versions:
             return None
-        stream = fs.open(pointer)
+        jvm, fs = self._fs()
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_published/{versions[-1]:012d}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def _rows(self, folder: str, kinds: dict) -> DataFrame:
+        return self.spark.read.schema(f"key {kinds['key']}, digest {kinds['digest']}, leaf long, folder int").parquet(f"{folder}/rows")
+
+    def _tree(self, folder: str, name: str = "tree") -> DataFrame:
+        return self.spark.read.schema(TREE).parquet(f"{folder}/{name}")
+
+    def output(self, state: dict | None = None) -> DataFrame:
+        """What the run of a version made of its pending rows."""
+        state = state or self.current()
+        if state is None:
+            raise ValueError(f"nothing is published in {self.path}")
+        return self.spark.read.parquet(f"{state['folder']}/output")
+
+    def _draft(self, rows: DataFrame, shape: TreeShape) -> str:
+        folder = f"{self.path}/v-{uuid.uuid4().hex}"
+        store_rows(rows, f"{folder}/rows", shape)
+        build_tree(self._rows(folder, dict(rows.dtypes)), shape).write.parquet(f"{folder}/tree")
+        return folder
+
+    def _pending(self, folder: str, kinds: dict, shape: TreeShape, state: dict | None) -> DataFrame:
+        rows, tree = self._rows(folder, kinds), self._tree(folder)
+        if state is None:
+            return rows.select("key", "digest", F.lit(None).cast(rows.schema["digest"].dataType).alias("saved_digest"), F.lit("new").alias("change"))
+        saved = self._rows(state["folder"], state["kinds"])
+        if state["leaf_bits"] == shape.leaf_bits and state["fan_bits"] == shape.fan_bits:
+            old = self._tree(state["folder"])
+        else:  # the snapshot has outgrown its tree: hash the stored rows once in the new shape
+            saved = saved.select("key", "digest")
+            build_tree(saved, shape).write.parquet(f"{folder}/saved_tree")
+            old = self._tree(folder, "saved_tree")
+        return changes(rows, saved, changed_leaves(tree, old, shape), shape)
+
+    def _shape(self, rows: DataFrame, state: dict | None) -> TreeShape:
+        """That of the current version as long as its leaves hold a quarter to four times as many rows as meant."""
+        wanted = TreeShape.for_rows(rows.count())
+        if state and abs(wanted.leaf_bits - state["leaf_bits"]) < wanted.fan_bits + 1:
+            return TreeShape(state["leaf_bits"], state["fan_bits"])
+        return wanted
+
     def pending(self, rows: DataFrame) -> DataFrame:
-        """What a run over the snapshot rows has to process."""
+        """What a run over the snapshot rows (key, digest) would have to process; nothing is published."""
         state = self.current()
-        if state is None:
-            return rows.select("key", "digest", F.lit(None).cast("string").alias("saved_digest"), F.lit("new").alias("change"))
-        saved = self.spark.read.parquet(f"{state['folder']}/rows")
-        tree = self.spark.read.parquet(f"{state['folder']}/tree")
-        return changes(rows, saved, changed_leaves(build_tree(rows, self.shape), tree, self.shape), self.shape)
+        shape = self._shape(rows, state)
+        return self._pending(self._draft(rows, shape), dict(rows.dtypes), shape, state)
 
-    def run(self, rows: DataFrame, process) -> DataFrame:
+    def run(self, rows: DataFrame, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Process the pending rows and publish process(pending), the snapshot and its tree in one step."""
         state = self.current()
-        folder = f"{self.path}/v{(state['version'] + 1) if state else 1}-{uuid.uuid4().hex[:8]}"
-        process(self.pending(rows)).write.parquet(f"{folder}/output")
-        rows.write.parquet(f"{folder}/rows")
-        build_tree(self.spark.read.parquet(f"{folder}/rows"), self.shape).write.partitionBy("level").parquet(f"{folder}/tree")
-        jvm, pointer, fs = self._fs()
-        draft = jvm.org.apache.hadoop.fs.Path(f"{folder}/_pointer")
+        shape = self._shape(rows, state)
+        folder = self._draft(rows, shape)
+        process(self._pending(folder, dict(rows.dtypes), shape, state)).write.parquet(f"{folder}/output")
+        version = state["version"] + 1 if state else 1
+        self._publish({"version": version, "folder": folder, "leaf_bits": shape.leaf_bits, "fan_bits": shape.fan_bits, "kinds": dict(rows.dtypes)})
+        return self.spark.read.parquet(f"{folder}/output")
+
+    def _publish(self, state: dict) -> None:
+        """Create the version's file; only one run can, as a rename never replaces a file that is there."""
+        jvm, fs = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path
+        fs.mkdirs(path(f"{self.path}/_published"))
+        draft = path(f"{state['folder']}/_state")
         stream = fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"version": state["version"] + 1 if state else 1, "folder": folder}).encode()))
+        stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(draft, pointer, options)
-        if state:
-            delete_path(self.spark, f"{state['folder']}/rows")
-        return self.spark.read.parquet(f"{folder}/output")
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        target = path(f"{self.path}/_published/{state['version']:012d}")
+        try:
+            context.rename(draft, target, options)
+        except Exception as e:
+            if fs.exists(target):
+                raise Superseded(f"version {state['version']} was published by another run") from e
+            raise
+
+    def vacuum(self, keep: int = 2, older_than_seconds: float = 86_400.0) -> int:
+        """Delete folders that belong to none of the last `keep` versions and have been untouched for a while; returns their number."""
+        jvm, fs = self._fs()
+        path, used = jvm.org.apache.hadoop.fs.Path, set()
+        for v in self._versions()[-max(1, keep) :]:
+            stream = fs.open(path(f"{self.path}/_published/{v:012d}"))
+            used.add(json.loads(bytes(stream.readAllBytes()).decode())["folder"].rsplit("/", 1)[-1])
+            stream.close()
+        limit = jvm.java.lang.System.currentTimeMillis() - older_than_seconds * 1000
+        gone = [s.getPath().getName() for s in fs.listStatus(path(self.path)) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in used and s.getModificationTime() <= limit]
+        for name in gone:
+            delete_path(self.spark, f"{self.path}/{name}")
+        return len(gone)

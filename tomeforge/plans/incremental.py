@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeforge.operators.merkle import TreeShape, build_tree, changed_leaves, changes, snapshot
-from tomeforge.runtime import table, written
-
-SHAPE = TreeShape(leaf_bits=12, fan_bits=4)
+from tomeforge.operators.merkle import IncrementalStore, snapshot
+from tomeforge.runtime import shared_path, table
 
 
 def committed_files(state: DataFrame, runs: DataFrame) -> DataFrame:
@@ -25,12 +23,11 @@ def observed_files(scans: DataFrame) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    saved = snapshot(committed_files(table(spark, sf_dir, "index_state"), table(spark, sf_dir, "index_runs")), "source_path", "fingerprint")
-    now = snapshot(observed_files(table(spark, sf_dir, "file_scans")), "source_path", "fingerprint")
-    saved, now = written(saved, "p1-saved"), written(now, "p1-now")
-    trees = [written(build_tree(x, SHAPE), "p1-tree") for x in (now, saved)]
-    found = changes(now, saved, changed_leaves(*trees, SHAPE), SHAPE).where(F.col("change").isin("new", "changed"))
-    return found.select(F.col("key").alias("source_path"), F.col("digest").alias("fingerprint"))
+    """What the succeeded runs recorded is published as a version of a store; pending are the files that differ from it."""
+    store = IncrementalStore(spark, shared_path(spark, "p1-store"))
+    store.run(snapshot(committed_files(table(spark, sf_dir, "index_state"), table(spark, sf_dir, "index_runs")), "source_path", "fingerprint"), lambda pending: pending.groupBy("change").count())
+    found = store.pending(snapshot(observed_files(table(spark, sf_dir, "file_scans")), "source_path", "fingerprint"))
+    return found.where(F.col("change").isin("new", "changed")).select(F.col("key").alias("source_path"), F.col("digest").alias("fingerprint"))
 
 
 QUERIES = {"p1_found": p1_found}

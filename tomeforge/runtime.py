@@ -25,30 +25,23 @@ def build_session(app: str = "tomeforge", master: str | None = None, **conf: str
     return builder.config(map=base | conf).getOrCreate()
 
 
-#: Below this size a table is spread over all cores: it may be a single row group, which one task would read alone.
-SMALL_BYTES = 64 << 20
-
-
-def path_bytes(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None, spread: bool = False) -> DataFrame:
-    """One table of a data folder; only the named columns are read. spread: for stages with much work per row."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
+    """One table of a data folder; only the named columns are read.
+
+    spread: for stages with much work per row; a table read in fewer splits than there are cores is dealt out to all of them.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     df = df.select(*columns) if columns else df
-    if spread and path_bytes(spark, path) < SMALL_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share, spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tomeforge-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -74,13 +67,32 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/tomeforge/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there.
 
-    The table survives the loss of any executor, is columnar and compressed, and is removed when the driver ends.
+    The table survives the loss of any executor, is columnar and compressed, and is removed when the driver ends or by drop().
+    by: a column whose values become folders, so that a filter on it reads only theirs.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tomeforge/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_path(spark, label)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables of written() that nothing will read any more."""
+    for df in tables:
+        path = getattr(df, "_written_at", None)
+        if path:
+            delete_path(df.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]
