@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeforge.runtime import table
+from tomeforge.runtime import table, written
 
 # Letters that look alike, Latin or Greek and Cyrillic, position by position.
 _LATIN = "aceopxyijsABCEHIJKMOPSTX" + "əƏhv"
@@ -173,16 +173,20 @@ def vocabulary(df: DataFrame, columns: list[str], min_count: int = MIN_COUNT) ->
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+
+        def flush() -> pd.DataFrame:
+            words = [w for w in seen if sum(map(bool, _script(w))) == 1]
+            return pd.DataFrame({"word": words, "n": [seen[w] for w in words]}).astype({"word": object, "n": "int64"})
+
         for b in batches:
             for col in columns:
                 for text in b[col]:
                     if text:
                         seen.update(TOKEN.findall(text.lower()))
             if len(seen) > 500_000:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen = Counter()
-        words = [w for w in seen if sum(map(bool, _script(w))) == 1]
-        yield pd.DataFrame({"word": words, "n": [seen[w] for w in words]}).astype({"word": object, "n": "int64"})
+                yield flush()
+                seen.clear()
+        yield flush()
 
     counted = df.select(*columns).mapInPandas(count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
@@ -211,7 +215,7 @@ def suspects(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
 def find(df: DataFrame, id_col: str, columns: list[str], corpus: DataFrame | None = None) -> DataFrame:
     """(id, field_name), distinct: fields whose text is not in its consistent form."""
-    seen = suspects(df, id_col, columns).distinct()
+    seen = written(suspects(df, id_col, columns).distinct(), "suspects")  # both branches below read what one pass found
     words = vocabulary(corpus if corpus is not None else df, columns)
     letters = seen.where(F.col("kind") == "letter").join(words, F.col("repaired") == F.col("word"), "left_semi")
     forms = seen.where(F.col("kind") == "form")
@@ -233,7 +237,7 @@ def repair(text: str | None, accepted: frozenset) -> str | None:
 
 def normalise(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """(id, columns) with every text in its consistent form."""
-    seen = suspects(df, id_col, columns).where(F.col("kind") == "letter")
+    seen = written(suspects(df, id_col, columns).where(F.col("kind") == "letter").distinct(), "suspects")
     words = vocabulary(df, columns)
     pairs = seen.join(words, F.col("repaired") == F.col("word"), "left_semi").groupBy("id").agg(F.collect_set(F.struct("token", "repaired")).alias("pairs"))
     rows = df.select(F.col(id_col).alias("id"), *columns).join(pairs, "id", "left")

@@ -1,7 +1,7 @@
 """Missing or wrong language labels: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-The classifier is trained here on sentences of chunks whose book has a label that names one language; the sample is
-bounded by about SAMPLE_CHUNKS chunks, picked by the hash of their id.  Features are hashed character n-grams of 1 to GRAMS
+The classifier is trained here on all sentences of a sample of the chunks whose book has a label that names one
+language: about SAMPLE_CHUNKS of them at every size, those with the least 64-bit hash of their id.  Features are hashed character n-grams of 1 to GRAMS
 letters with TF-IDF weights; training is follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties, so
 most weights are exactly zero).  Labels are noisy: two models, each trained on half of the sampled chunks, judge the
 other half; chunks most of whose text contradicts their label and single sentences that do so are dropped, and the
@@ -9,7 +9,7 @@ final model is trained on the rest.  On held-out sentences one temperature is fi
 cut into sentences; sentences too short or too unsure to tell take the language around them; neighbouring sentences
 of one language form a segment.
 
-Defined results: a text without letters has no segment and no language; a book without any such text keeps none;
+Defined results: without any labelled text nothing can be learned and no text has a segment; a text without letters has no segment and no language; a book without any such text keeps none;
 ties of a book's majority go to the language with more letters, then by code; null texts count as empty; repeated rows
 count as often as they occur; extra columns are ignored; empty tables give an empty result.
 """
@@ -44,7 +44,7 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.001
 #: A sentence speaks for itself from so many letters, words and so much calibrated confidence on; less is a heading, a name, a code.
 LEAST_LETTERS = 30
 LEAST_WORDS = 5
-LEAST_CONFIDENCE = 0.95
+LEAST_CONFIDENCE = 0.9
 
 _BREAK = re.compile(r"(?<=[.!?…])[»\")]*\s+(?=[^\W_]|[«\"(\d])|\s*\n\s*(?=\d+\)|[-*•—] )|(?<=[.!?…:»)])\s*\n\s*")
 _NOISE = re.compile(r"[\W\d_]+")
@@ -158,13 +158,21 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 11) -> np.ndarray:
     return (value(z, n) * idf[:, None]).astype(np.float32)
 
 
-def temperature(score: np.ndarray, labels: np.ndarray, doubt: float = 0.01) -> float:
-    """The divisor of the logits that makes held-out labels most likely; each label is doubted a little, as they are noisy."""
-    grid = np.geomspace(0.05, 20, 120)
-    soft = np.full(score.shape, doubt / score.shape[1])
-    soft[np.arange(len(labels)), labels] += 1 - doubt
-    loss = [-(soft * np.log(np.maximum(softmax(score / t), 1e-12))).sum(axis=1).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+def temperature(score: np.ndarray, labels: np.ndarray) -> float:
+    """The divisor of the logits that makes held-out labels most likely.
+
+    Some labels are wrong (a foreign sentence in a labelled chunk): a share of them, fitted along, is taken as drawn at
+    random, so that they do not pass for errors of the classifier.
+    """
+    k = score.shape[1]
+    best = (np.inf, 1.0)
+    for t in np.geomspace(0.05, 20, 120):
+        p = softmax(score / t)[np.arange(len(labels)), labels]
+        for wrong in (0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3):
+            loss = -np.log((1 - wrong) * p + wrong / k).mean()
+            if loss < best[0] - 1e-12:
+                best = (loss, float(t))
+    return best[1]
 
 
 def fit(texts: list[str], labels: list[str], groups: list) -> tuple[np.ndarray, float]:
@@ -181,36 +189,47 @@ def fit(texts: list[str], labels: list[str], groups: list) -> tuple[np.ndarray,
             p[~own] = softmax(logits([t for t, o in zip(texts, ~own) if o], train([t for t, o in zip(texts, own) if o], y[own])))
         mass = np.zeros((group.max() + 1, k))
         np.add.at(mass, group, p * np.array([len(t) for t in texts])[:, None])
-        trusted = (mass[group].argmax(axis=1) == y) & (p.argmax(axis=1) == y)
+        confirmed = mass[group].argmax(axis=1) == y
+        trusted = confirmed & (p.argmax(axis=1) == y)
     else:
-        trusted = np.ones(len(y), bool)
+        confirmed = trusted = np.ones(len(y), bool)
     held = group % 5 == 0
     use = trusted & ~held if (trusted & ~held).any() else np.ones(len(y), bool)
     w = train([t for t, u in zip(texts, use) if u], y[use])
-    check = held & trusted
+    # sentences of chunks whose label the other half's model confirms, whatever it makes of the single sentence
+    check = held & confirmed
     t = temperature(logits([x for x, c in zip(texts, check) if c], w), y[check]) if check.any() else 1.0
     return w, t
 
 
-def fit_on_sample(chunks: DataFrame, books: DataFrame, limit: int = SAMPLE_CHUNKS) -> tuple[np.ndarray, float]:
-    total = chunks.count()
-    share = min(1.0, limit / max(1, total))
-    picked = chunks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).where(F.col("raw_text").isNotNull())
+def sample_bound(total: int, limit: int = SAMPLE_CHUNKS) -> int | None:
+    """The 64-bit hash below which about `limit` of `total` ids lie; None if all are to be taken."""
+    return None if total <= limit else -(1 << 63) + (limit << 64) // total
+
+
+def fit_on_sample(chunks: DataFrame, books: DataFrame, limit: int = SAMPLE_CHUNKS) -> tuple[np.ndarray, float] | None:
+    """(weights, temperature); None if no text has a label to learn from. The chunks of the sample are used whole."""
     labelled = books.select(F.col("id").alias("book_id"), label_language(F.col("language")).alias("language")).where(F.col("language").isNotNull())
-    rows = picked.join(labelled, "book_id").select("id", "raw_text", "language").orderBy(F.xxhash64("id"), "id").limit(2 * limit).collect()  # a bounded sample
+    usable = chunks.where(F.col("raw_text").isNotNull()).join(labelled, "book_id")
+    bound = sample_bound(usable.count(), limit)
+    rank = F.xxhash64("id")
+    picked = usable.where(rank < F.lit(bound)) if bound is not None else usable
+    rows = picked.select("id", "raw_text", "language").orderBy(rank, "id").limit(2 * limit).collect()  # about `limit` rows, at most twice as many
+    if bound is not None and not rows:
+        raise RuntimeError("the sample of labelled chunks is empty")
     texts, labels, groups = [], [], []
     for r in rows:
         t = tidy(r.raw_text)
-        for a, b in sentences(t)[:6]:
+        for a, b in sentences(t):
             s = plain(t[a:b])
             if len(s) >= LEAST_LETTERS:
                 texts.append(s)
                 labels.append(r.language)
                 groups.append(r.id)
-    return fit(texts, labels, groups)
+    return fit(texts, labels, groups) if texts else None
 
 
-def segments_of(texts: list[str], weights: np.ndarray, temp: float) -> list[list[tuple[int, int, int, float, bool]]]:
+def segments_of(texts: list[str], weights: np.ndarray, temp: float, least: float = LEAST_CONFIDENCE) -> list[list[tuple[int, int, int, float, bool]]]:
     """Per text its segments (start, end, language number, confidence, whether it holds a whole sentence sure of itself)."""
     spans = [sentences(t) for t in texts]
     flat = [plain(t[a:b]) for t, s in zip(texts, spans) for a, b in s]
@@ -223,7 +242,7 @@ def segments_of(texts: list[str], weights: np.ndarray, temp: float) -> list[list
         if not letters.sum():
             out.append([])
             continue
-        sure = (letters >= LEAST_LETTERS) & (words >= LEAST_WORDS) & (own.max(axis=1) >= LEAST_CONFIDENCE)
+        sure = (letters >= LEAST_LETTERS) & (words >= LEAST_WORDS) & (own.max(axis=1) >= least)
         total = (own * letters[:, None]).sum(axis=0)
         main = int(total.argmax())
         lang = np.where(sure, own.argmax(axis=1), -1)
@@ -244,22 +263,22 @@ def segments_of(texts: list[str], weights: np.ndarray, temp: float) -> list[list
     return out
 
 
-def segments(chunks: DataFrame, weights: np.ndarray, temp: float) -> DataFrame:
-    """(chunk_id, book_id, segment_no, seg_start, seg_end, language, confidence, whole, letters) of all chunks."""
-    shared = chunks.sparkSession.sparkContext.broadcast((weights, temp))  # BUCKETS x languages floats
+def segments(chunks: DataFrame, model: tuple[np.ndarray, float] | None, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """(chunk_id, book_id, segment_no, seg_start, seg_end, language, confidence, whole, letters) of all chunks; none without a model."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, t = shared.value
         for b in batches:
             texts = [tidy(x) if x else "" for x in b["raw_text"]]
             rows = []
-            for i, book, text, segs in zip(b["id"], b["book_id"], texts, segments_of(texts, w, t)):
+            for i, book, text, segs in zip(b["id"], b["book_id"], texts, segments_of(texts, w, t, least)):
                 rows += [(i, book, n, s, e, LANGUAGES[x], round(c, 4), ok, e - s) for n, (s, e, x, c, ok) in enumerate(segs)]
             cols = ["chunk_id", "book_id", "segment_no", "seg_start", "seg_end", "language", "confidence", "whole", "letters"]
             yield pd.DataFrame(rows, columns=cols).astype({"chunk_id": "int64", "book_id": "Int64", "whole": bool})
 
     schema = "chunk_id long, book_id long, segment_no int, seg_start int, seg_end int, language string, confidence double, whole boolean, letters int"
-    return chunks.select("id", "book_id", "raw_text").mapInPandas(run, schema)
+    return chunks.select("id", "book_id", "raw_text").where(F.lit(model is not None)).mapInPandas(run, schema)
 
 
 def book_languages(segs: DataFrame) -> DataFrame:
@@ -274,7 +293,7 @@ def book_languages(segs: DataFrame) -> DataFrame:
 def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = table(spark, sf_dir, "chunks", ["id", "book_id", "raw_text"], spread=True)
     books = table(spark, sf_dir, "books", ["id", "language"])
-    return books, written(segments(chunks, *fit_on_sample(chunks, books)), "segments")
+    return books, written(segments(chunks, fit_on_sample(chunks, books)), "segments")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,29 @@
 """Variant spellings of names: trie join with Levenshtein automata, then token-order permutations.
 
-The words of the authority names are sharded into tries, one per kind and script.  A word of a typed name walks its
-trie with the rows of a Levenshtein automaton (a swap of neighbours counts once) and so meets every listed word within
-its bounded distance; initials and words cut short meet the words they begin, nicknames the names they stand for.
-What two entities share does not decide: the words of the typed name are assigned to the words of an entity in any
-order, each at most once, and every word must find its place.  A person needs the surname and a given name or initial
-that agree; an organisation all its own words, its type may be abbreviated or missing; a work all its words and its
-number.  The entity with the fewest edits wins; if two win, the name is linked to none.
+The authority names are dealt out in shards of at most SHARD_ENTITIES; the words of a shard form tries, one per kind and
+script.  Every spelling meets every shard, each pair of a shard and a share of the spellings in a task of its own.  A
+word of a typed name walks the trie with the rows of a Levenshtein automaton (a swap of neighbours counts once) and so
+meets every listed word within its bounded distance; initials and words cut short meet the words they begin, nicknames
+the names they stand for.  What two entities share does not decide: the words of the typed name are assigned to the
+words of an entity in any order, each at most once, by a search over all orders, and every word must find its place.  A
+person needs the surname and a given name or initial that agree; an organisation all its own words, its type may be
+abbreviated or missing; a work all its words and its number.  The entity with the fewest edits over all shards wins; if
+two win, the name is linked to none.
 
 A name in Latin letters is also compared with the listed names of Cyrillic spelling in a common transliteration.
 
-The authority list has a fixed size (reference items) and is broadcast; typed names are compared once per spelling.
+Typed names are compared once per spelling.  No list is sent to all tasks, and neither list nor names have a bound.
 
 Defined results: null and blank names have no entity; an exact match is linked like any other (distance 0, variant
-false); ties give no link; repeated rows are linked as often as they occur; extra columns are ignored; an empty table
-gives an empty result, an empty authority list no links.
+false); ties give no link; listed names without an id or a name are left out; repeated rows are linked as often as they
+occur; extra columns are ignored; an empty table gives an empty result, an empty authority list no links.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
 from functools import lru_cache
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +65,13 @@ def latin(word: str) -> str:
     return "".join(LETTERS.get(c, c) for c in word)
 
 
+#: Entities of one shard; spellings that meet a shard in one task.
+SHARD_ENTITIES = 20_000
+SPELLINGS = 20_000
+#: Edits a whole name may have.
+MOST_EDITS = 2
+
+
 def edits_allowed(n: int) -> int:
     return 0 if n < 4 else 1 if n < 8 else 2
 
@@ -143,51 +150,62 @@ def _split(text: str) -> list[tuple[str, bool]]:
     return [(w.rstrip("."), w.endswith(".")) for w in WORD.findall(text)]
 
 
+def fewest_edits(target: list[str], options: list[dict[str, int]], must: list[str], most: int = MOST_EDITS) -> int | None:
+    """Fewest edits, up to `most`, with which each word finds a place of its own among the target's words, in any order.
+
+    options: per word the target's words it may stand for, with the edits; must: words of the target that have to be
+    found. Equal words of the target are interchangeable, so orders that differ only in them are tried once.
+    """
+    if len(options) > len(target):
+        return None
+    words = sorted(set(target))
+    count, needed = Counter(target), Counter(must)
+    fits = sorted(([(opts[w], k) for k, w in enumerate(words) if w in opts] for opts in options), key=len)
+    best: dict[tuple, int | None] = {}
+
+    def search(at: int, free: tuple[int, ...], left: int) -> int | None:
+        if at == len(fits):
+            found = all(count[w] - free[k] >= needed[w] for k, w in enumerate(words))
+            return 0 if found else None
+        if (at, free, left) not in best:
+            costs = []
+            for cost, k in fits[at]:
+                if free[k] and cost <= left:
+                    rest = search(at + 1, free[:k] + (free[k] - 1,) + free[k + 1 :], left - cost)
+                    if rest is not None:
+                        costs.append(cost + rest)
+            best[at, free, left] = min(costs, default=None)
+        return best[at, free, left]
+
+    return search(0, tuple(count[w] for w in words), most)
+
+
+#: How a name was found, best first; of each kind only the best way counts.
+EXACT, OWN, OWN_LOOSE, LATIN, LATIN_LOOSE = range(5)
+
+
 class Linker:
+    """Links spellings to the entities of one shard."""
+
     def __init__(self, authority: list[tuple[int, str, str]]):
-        self.kind = {e: k for e, k, _ in authority}
-        self.exact: dict[tuple[str, str], int] = {}
+        self.exact: dict[tuple[str, str], set[int]] = defaultdict(set)
         self.shards = {(k, s): Shard() for k in ("person", "organisation", "work") for s in ("own", "latin")}
         for e, kind, name in authority:
+            if (kind, "own") not in self.shards:
+                continue
             words = [w for w, _ in _split(fold(name)) if kind != "work" or w not in ARTICLES]
-            self.exact[kind, name] = e
+            self.exact[kind, name].add(e)
+            if not words:
+                continue
             self.shards[kind, "own"].add(e, words)
             if any("Ѐ" <= c <= "ԯ" for c in name):
                 self.shards[kind, "latin"].add(e, [latin(w) or w for w in words])
 
-    def _assign(self, shard: Shard, entity: int, words: list[tuple[str, bool]], options: list[dict[str, int]]) -> tuple[int, set[int]] | None:
-        """Fewest edits with which the words find distinct places in the entity's words, and the places taken."""
-        target = shard.words[entity]
-        if len(words) > len(target):
-            return None
-        if len(words) <= 4:
-            best = None
-            for places in permutations(range(len(target)), len(words)):
-                cost = 0
-                for (word, _), opts, p in zip(words, options, places):
-                    d = opts.get(target[p])
-                    if d is None:
-                        break
-                    cost += d
-                else:
-                    if best is None or cost < best[0]:
-                        best = (cost, set(places))
-            return best
-        free, cost = list(range(len(target))), 0  # longer: words hardly repeat, nearest places one after the other
-        for opts in sorted(options, key=len):
-            fits = [(opts[target[p]], p) for p in free if target[p] in opts]
-            if not fits:
-                return None
-            d, p = min(fits)
-            cost += d
-            free.remove(p)
-        return cost, set(range(len(target))) - set(free)
-
-    def _person(self, text: str, script: str) -> list[tuple[int, int]]:
+    def _person(self, text: str, script: str) -> list[tuple[bool, int, int]]:
         shard = self.shards["person", script]
         text = re.sub(r"(?<=[^\W\d_]{3}),(?=[^\W\d_]\b)", "", text)  # a comma that slipped into a word
         words = [(w, d) for w, d in _split(text) if w not in HONORIFICS]
-        if not 2 <= len(words) <= 4:
+        if len(words) < 2:
             return []
         options, entities = [], defaultdict(int)
         for word, dotted in words:
@@ -210,18 +228,14 @@ class Linker:
                         entities[e] += 1
         found = []
         for e in entities:
-            fit = self._assign(shard, e, words, options)
-            if fit is None:
-                continue
-            cost, places = fit
             target = shard.words[e]
-            last = len(target) - 1
-            surname = [k for k, (w, _) in enumerate(words) if len(w) > 1 and target[last] in options[k]]
-            if last in places and 0 in places and surname and cost <= 2:
-                found.append((cost, e))
+            if any(len(w) > 1 and target[-1] in o for (w, _), o in zip(words, options)):  # the surname, not its initial
+                cost = fewest_edits(target, options, [target[0], target[-1]] if len(target) > 1 else target)
+                if cost is not None:
+                    found.append((False, cost, e))
         return found
 
-    def _organisation(self, text: str, script: str) -> list[tuple[int, int]]:
+    def _organisation(self, text: str, script: str) -> list[tuple[bool, int, int]]:
         shard = self.shards["organisation", script]
         kinds = ORG_TYPES if script == "own" else {latin(x) for x in ORG_TYPES}
         words = [(SHORT.get(w, w) if d or w in SHORT and w not in ("ин", "б") else w, d) for w, d in _split(re.sub(r"(?<=изд)-(?=во)|(?<=ин)-(?=т)", "", text))]
@@ -235,25 +249,25 @@ class Linker:
         found = []
         for e in entities:
             target = shard.words[e]
-            fit = self._assign(shard, e, own, options)
-            if fit and all(p in fit[1] or target[p] in kinds for p in range(len(target))) and fit[0] <= 2:
+            cost = fewest_edits(target, options, [w for w in target if w not in kinds])
+            if cost is not None:
                 typed = {w for w, _ in words if w in kinds}
                 listed = {w for w in target if w in kinds}
                 if not typed or not listed or any(a == b or b.startswith(a) or a.startswith(b) for a in typed for b in listed):
-                    found.append((fit[0], e))
+                    found.append((False, cost, e))
         if not found:  # the type itself may be misspelt
             options = [dict(shard.near(w, d)) for w, d in words]
             for e in entities:
-                fit = self._assign(shard, e, words, options)
-                if fit and len(fit[1]) == len(shard.words[e]) and fit[0] <= 2:
-                    found.append((fit[0], e))
+                cost = fewest_edits(shard.words[e], options, shard.words[e])
+                if cost is not None:
+                    found.append((True, cost, e))
         return found
 
-    def _work(self, text: str, script: str) -> list[tuple[int, int]]:
+    def _work(self, text: str, script: str) -> list[tuple[bool, int, int]]:
         text = EDITION.sub(" ", text).replace("_", " ")
-        found = self._title(_split(text), script)
+        found = [(False, *x) for x in self._title(_split(text), script)]
         if not found and SUBTITLE.search(text):  # the whole with a subtitle of its own is no listed title
-            found = self._title(_split(SUBTITLE.sub("", text)), script)
+            found = [(True, *x) for x in self._title(_split(SUBTITLE.sub("", text)), script)]
         return found
 
     def _title(self, words: list[tuple[str, bool]], script: str) -> list[tuple[int, int]]:
@@ -271,54 +285,59 @@ class Linker:
         found = []
         for e in set().union(*(shard.where[w] for w in rare)):
             target = shard.words[e]
-            if len(target) != len(words):
-                continue
-            fit = self._assign(shard, e, words, options)
-            if fit and fit[0] <= 2:
-                found.append((fit[0], e))
+            cost = fewest_edits(target, options, target)
+            if cost is not None:
+                found.append((cost, e))
         return found
 
-    def link(self, field: str, name: str | None) -> tuple[int | None, int, bool]:
-        """(entity or None, edits, whether the spelling differs from the listed one)."""
+    def link(self, field: str, name: str | None) -> tuple[int, int, set[int]] | None:
+        """(way, edits, entities) of the best way in which the name means entities of this shard."""
         if not name or not name.strip():
-            return None, 0, False
+            return None
         kinds = ("person", "organisation") if field == "author" else ("work",)
-        for k in kinds:
-            if (k, name) in self.exact:
-                return self.exact[k, name], 0, False
+        exact = set().union(*(self.exact.get((k, name), set()) for k in kinds))
+        if exact:
+            return EXACT, 0, exact
         text = fold(name)
         for script in ("own", "latin"):
             if script == "latin" and any("Ѐ" <= c <= "ԯ" for c in text):
                 continue
-            found: list[tuple[int, int]] = []
+            found: list[tuple[bool, int, int]] = []
             for k in kinds:
                 found += {"person": self._person, "organisation": self._organisation, "work": self._work}[k](text, script)
             if found:
-                best = min(d for d, _ in found)
-                winners = {e for d, e in found if d == best}
-                return (winners.pop(), best, True) if len(winners) == 1 else (None, best, True)
-        return None, 0, True
+                loose, edits, _ = min(found)
+                return (OWN if script == "own" else LATIN) + loose, edits, {e for x, d, e in found if (x, d) == (loose, edits)}
+        return None
 
 
-def link_names(spellings: DataFrame, authority: DataFrame) -> DataFrame:
+def link_names(spellings: DataFrame, authority: DataFrame, shard_entities: int = SHARD_ENTITIES) -> DataFrame:
     """spellings: (field, name).  Returns (field, name, entity_id, edits, variant) of every linked spelling, each once."""
-    listed = [(r.entity_id, r.kind, r.name) for r in authority.where(F.col("name").isNotNull()).select("entity_id", "kind", "name").collect()]  # reference items, of fixed number
-    shared = spellings.sparkSession.sparkContext.broadcast(listed)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        linker = Linker(shared.value)
-        for b in batches:
-            rows = []
-            for field, name in zip(b["field"], b["name"]):
-                entity, edits, variant = linker.link(field, name)
-                if entity is not None:
-                    rows.append((field, name, entity, edits, variant))
-            yield pd.DataFrame(rows, columns=["field", "name", "entity_id", "edits", "variant"]).astype({"entity_id": "int64", "edits": "int64", "variant": bool})
-
-    # a fixed number of partitions: the few bytes of a spelling cost much work, which sizes do not show
-    width = max(2 * spellings.sparkSession.sparkContext.defaultParallelism, int(spellings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    distinct = spellings.where(F.col("name").isNotNull()).select("field", "name").distinct().repartition(width, F.xxhash64("name"))
-    return distinct.mapInPandas(run, "field string, name string, entity_id long, edits long, variant boolean")
+    spark = spellings.sparkSession
+    listed = authority.where(F.col("name").isNotNull() & F.col("entity_id").isNotNull()).select("entity_id", "kind", "name").distinct()
+    names = spellings.where(F.col("name").isNotNull()).select("field", "name").distinct()
+    shards = max(1, -(-listed.count() // shard_entities))
+    # the few bytes of a spelling cost much work, which sizes do not show: the number of partitions is given
+    width = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shares = max(-(-width // shards), -(-names.count() // SPELLINGS))
+    left = names.withColumn("share", F.pmod(F.xxhash64("name"), F.lit(shares)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    right = listed.withColumn("shard", F.pmod(F.xxhash64("entity_id"), F.lit(shards)).cast("int")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    def run(rows: pd.DataFrame, entities: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        linker = Linker(list(zip(entities["entity_id"].tolist(), entities["kind"], entities["name"]))) if len(rows) else None
+        for field, name in zip(rows["field"], rows["name"]):
+            found = linker.link(field, name)
+            if found:
+                way, edits, winners = found
+                out.append((field, name, way * 100 + edits, len(winners), min(winners)))
+        return pd.DataFrame(out, columns=["field", "name", "cost", "winners", "entity_id"]).astype({"cost": "int32", "winners": "int32", "entity_id": "int64"})
+
+    keys = ["shard", "share"]
+    met = left.repartition(width, *keys).groupBy(*keys).cogroup(right.repartition(width, *keys).groupBy(*keys)).applyInPandas(run, "field string, name string, cost int, winners int, entity_id long")
+    best = met.groupBy("field", "name").agg(F.min(F.struct("cost", "entity_id")).alias("b"), F.collect_list(F.struct("cost", "winners")).alias("all"))  # a row per shard at most
+    winners = F.aggregate(F.filter("all", lambda x: x["cost"] == F.col("b.cost")), F.lit(0), lambda n, x: n + x["winners"])
+    return best.where(winners == 1).select("field", "name", F.col("b.entity_id").alias("entity_id"), (F.col("b.cost") % 100).cast("long").alias("edits"), (F.col("b.cost") >= 100).alias("variant"))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:

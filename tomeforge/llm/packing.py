@@ -24,8 +24,8 @@ from tomeforge.runtime import table, written
 
 CAPACITY = 2048
 WINDOWS = 64
-#: Items one partition takes, so that a task's share is bounded at every scale.
-ITEMS_PER_PARTITION = 100_000
+#: Items one partition takes about; the number of partitions is a power of two, so more items only divide them.
+ITEMS_PER_PARTITION = 4096
 #: Partitions whose leftovers are merged by one task: at most MERGE * WINDOWS containers.
 MERGE = 256
 
@@ -57,7 +57,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, per
     if capacity <= 0 or windows <= 0:
         raise ValueError("capacity and windows must be positive")
     rows = items.select("id", F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long").alias("size"))
-    parts = max(1, -(-rows.count() // per_partition))
+    bits = max(0, -(-rows.count() // per_partition) - 1).bit_length()
     full = F.floor(F.col("size") / capacity).cast("int")
     rest = F.col("size") - full * capacity
     # full pieces need no packing: each is a container of its own
@@ -67,7 +67,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS, per
     )
     small = rows.where(F.col("size") <= capacity).select("id", F.lit(0).alias("piece"), "size")
     ends = rows.where((F.col("size") > capacity) & (rest > 0)).select("id", full.alias("piece"), rest.alias("size"))
-    todo = small.unionByName(ends).withColumn("part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
+    todo = small.unionByName(ends).withColumn("part", F.shiftrightunsigned(F.shiftrightunsigned(F.xxhash64("id", "piece"), 1), 63 - bits).cast("int"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "id", "piece", "size"], kind="stable")
@@ -101,4 +101,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p9_containers": p9_containers}
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for every packing: all documents are in it once, none is split without need, no container is over-full, and less than a tenth of the space is unused."""
+    packed = written(p9_containers(spark, sf_dir), "p9-packed")
+    docs = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("piece").alias("kinds"), F.sum("n_tokens").alias("size"))
+    used = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"))
+    of_docs = docs.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("pieces") != F.greatest(F.ceil(F.col("size") / CAPACITY), F.lit(1))).alias("n_split_badly"), F.sum("size").alias("total"))
+    of_used = used.agg(F.count_if(F.col("fill") > CAPACITY).alias("n_over_full"), F.count(F.lit(1)).alias("containers"))
+    both = of_docs.crossJoin(of_used)  # a row each
+    return both.select("n_documents", "n_split_badly", "n_over_full", (F.col("containers") * CAPACITY * 0.9 <= F.col("total") + CAPACITY).alias("well_filled"))
+
+
+QUERIES = {"p9_containers": p9_containers, "p9_checks": p9_checks}
+
+ORACLES = {"p9_checks": "SELECT count(*) AS n_documents, 0 AS n_split_badly, 0 AS n_over_full, true AS well_filled FROM documents"}

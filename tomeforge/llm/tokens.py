@@ -146,4 +146,17 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True))
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p8_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes): the length of what each document's ids stand for; the encoding loses nothing."""
+
+    @F.pandas_udf("long")
+    def size(ids: pd.Series) -> pd.Series:
+        _, sizes = encoder()
+        return pd.Series([int(sizes[np.asarray(x, np.int64)].sum()) for x in ids], index=ids.index)
+
+    return p8_ids(spark, sf_dir).select("doc_id", size("ids").alias("n_bytes"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_bytes": p8_bytes}
+
+ORACLES = {"p8_bytes": "SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n_bytes FROM documents"}
