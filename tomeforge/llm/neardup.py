@@ -3,8 +3,8 @@
 Every text becomes its sequence of lower-cased words (runs of letters and digits).  Texts with the same set of words
 form one class, so copies are sketched once.  Order MinHash: the k-mers of the word sequence are labelled by their
 occurrence; each of a family's hash functions samples the several smallest of them, all k-mers alike, and keeps them in
-text order as one bucket key.  Two families are used: pairs of k-mers of three words, which survive moved passages, and
-four single words, whose agreement depends on the share of common words alone and survives scattered edits.  Classes that meet in a bucket are
+text order as one bucket key.  Three families are used: pairs of k-mers of two and of three words, which survive moved
+passages, and four single words, whose agreement depends on the share of common words alone and survives scattered edits.  Classes that meet in a bucket are
 compared by bitmaps of their words, whose distance cannot exceed that of the sets, so no pair is lost there.  What is
 left is verified by banded alignment: the words aligned within the band are common words, so a pair that has enough of
 them is accepted; only pairs that have not, because passages changed places, are counted exactly.
@@ -37,12 +37,14 @@ from tomeforge.runtime import drop, table, written
 
 SIMILARITY = 0.6
 #: (words of a k-mer, k-mers of a sample, hash functions)
-FAMILIES = ((3, 2, 28), (1, 4, 20))
+FAMILIES = ((2, 2, 12), (3, 2, 12), (1, 4, 6))
 SHORT = 12
 #: Classes of one bucket that meet in one task.
 HEAVY = 2048
 #: 64-bit words of the bitmap of a set.
-BITMAP = 2
+BITMAP = 3
+#: Residues of the classes by which records without a candidate are left out early; a bound, not a threshold.
+SLOTS = 1 << 18
 #: Pairs looked at together.
 PAIRS = 1 << 19
 WORD = re.compile(r"[^\W_]+")
@@ -354,8 +356,11 @@ def verify(wa: list, wb: list, similarity: float) -> tuple[np.ndarray, np.ndarra
 def similar_classes(rec: DataFrame, similarity: float = SIMILARITY, families: tuple = FAMILIES) -> DataFrame:
     """(a, b, share, how) of classes of different word sets, a < b. rec: a written table of records(); how: aligned or moved."""
     met = written(candidates(sketches(rec, similarity, families), similarity), "candidates")
-    ids = met.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    texts = written(rec.select("class", "words").join(ids, "class", "left_semi").dropDuplicates(["class"]), "texts")
+    ids = written(met.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "candidate-classes")
+    # the words of few classes are wanted: most records are left out before anything of them is sent
+    slot = F.pmod(F.col("class"), F.lit(SLOTS))
+    some = rec.select("class", "words").withColumn("slot", slot).join(F.broadcast(ids.select(slot.alias("slot")).distinct()), "slot", "left_semi")  # at most SLOTS numbers
+    texts = written(some.drop("slot").join(ids, "class", "left_semi").dropDuplicates(["class"]), "texts")
     both = met.join(texts.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a").join(texts.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
