@@ -1,15 +1,19 @@
 """Noise in text from scanned pages: hyphenation, misread characters, running headers, page numbers.
 
-Skip-gram vectors are learned on the words of the scanned pages.  A rare word, or one with a digit or sign inside, is linked to
-words that are at least RATIO times as frequent and from which it differs by plausible glyph edits (what recognition
-takes for what); of these the one that suits its context best, by the vectors, is what was printed.  Furniture goes
-before that: lines that hold only a page number; and running headers, which stand beside a page number, in capitals,
-repeat at the head of several pages of a book, resemble the book's title or author, or stand alone at the head of a page.  Chapter headings, list items and
-codes are lawful.  What is left is joined over line ends, a word split there is put together unless both parts are
-words of their own that belong together with a hyphen, and flows into paragraphs.
+Furniture goes first: lines that hold only a page number; and running headers, which stand beside a page number, in
+capitals, repeat at the head of several pages of a book, resemble the book's title or author, or stand alone at the head
+of a page.  Chapter headings, list items and codes are lawful.  What is left is joined over line ends; a word split there
+is put together unless both parts are words of their own that belong together with a hyphen.
 
-Word counts cover all texts; what is broadcast is bounded: words that make up less than FLOOR_SHARE of all running
-words are left out, so at most 1 / FLOOR_SHARE words and vectors exist at any scale.
+Misread words: every word is linked to the more frequent words from which it differs by at most MOST_EDITS plausible
+glyph edits (what recognition takes for what).  Words that such edits connect have one skeleton, in which glyphs that
+are taken for each other are one, so the links are a join on skeletons.  Skip-gram vectors are learned on the words of
+the scanned pages.  Of the words a rare word is linked to, the one is chosen whose frequency and whose fit with the
+vectors of the words around speak most for it; it is what was printed if together they outweigh the word as it stands.
+
+Word counts cover all texts and are exact at every size.  Words that make up at least FREQUENT_SHARE of all running
+words, at most 1 / FREQUENT_SHARE of them, have vectors and are broadcast; what is known of all other words reaches
+the pages by joins.
 
 Defined results: chunks without a page, null and empty texts have no noise and stay as they are; ties between
 replacements go to the more frequent word, then by spelling; repeated rows give one case and repeated repaired rows;
@@ -22,7 +26,6 @@ import difflib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,12 +43,14 @@ GLYPHS = {
     "ьт": ["ы"], "пт": ["ш"], "10": ["ю"], "cl": ["d"], "li": ["h"], "rn": ["m"], "vv": ["w"],
 }
 
-FLOOR_SHARE = 1e-6
-RATIO = 15
-LEAST_COUNT = 8
+FREQUENT_SHARE = 1e-5
+#: A word never met counts as this share of all running words.
+UNSEEN_SHARE = 1e-7
 VECTOR, WINDOW, CONTEXT = 16, 3, 3
-#: A replacement whose vector points away from its context by more than this is not made.
-CONTEXT_MIN = -0.35
+MOST_EDITS = 2
+#: How much speaks for a reading: the binary logarithm of how many times as frequent it is, plus CONTEXT_WEIGHT times the
+#: cosine of its vector with those around; from EVIDENCE on it is made.
+CONTEXT_WEIGHT, EVIDENCE = 4.0, 6.5
 ALIKE = 0.75
 
 PAGE_NUMBER = re.compile(r"^\s*[-—–·\[|]*\s*(?:(?:стр\.?|page|бет|бит)\s*)?\d{1,4}\s*[-—–·\]|]*\s*$", re.IGNORECASE)
@@ -86,25 +91,77 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     return chunks.select("raw_text", "page").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def known_words(chunks: DataFrame) -> dict[str, int]:
-    counts = written(word_counts(chunks), "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    floor = max(2, int(total * FLOOR_SHARE) + 1)
-    return {r.word: r.n for r in counts.where(F.col("n") >= floor).toLocalIterator()}  # at most 1 / FLOOR_SHARE words
+def _skeleton_rules() -> tuple[list[tuple[str, str]], dict[int, str]]:
+    """What is printed as one glyph but read as several, written out; and of glyphs taken for each other the first."""
+    several = [(right, wrong) for wrong, rights in GLYPHS.items() for right in rights if len(wrong) > 1]
+    leader: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while leader.get(c, c) != c:
+            c = leader[c]
+        return c
 
+    for wrong, rights in GLYPHS.items():
+        for right in rights if len(wrong) == 1 else ():
+            leader[top(right)] = top(wrong)
+    return several, str.maketrans({c: top(c) for c in leader})
 
-def skip_grams(scanned: DataFrame, known: dict[str, int]) -> dict[str, np.ndarray]:
-    """Unit vectors of the frequent words of scanned pages."""
 
-    @F.pandas_udf("array<string>")
-    def body(texts: pd.Series) -> pd.Series:
-        return pd.Series([counted_words(t, True) for t in texts], index=texts.index)
+_SEVERAL, _LEADERS = _skeleton_rules()
 
-    least = max(LEAST_COUNT, int(sum(known.values()) * FLOOR_SHARE) + 1)
-    words = scanned.where(F.col("raw_text").isNotNull()).select(body("raw_text").alias("words")).where(F.size("words") > 0)
-    model = Word2Vec(vectorSize=VECTOR, windowSize=WINDOW, minCount=least, maxIter=1, seed=17, inputCol="words", outputCol="v", stepSize=0.05, numPartitions=scanned.sparkSession.sparkContext.defaultParallelism)
+
+def skeleton(word: str) -> str:
+    """Equal for any two words of which one is read from the other by glyph edits."""
+    for right, wrong in _SEVERAL:
+        word = word.replace(right, wrong)
+    return word.translate(_LEADERS)
+
+
+def glyph_edits(word: str, printed: str, most: int = MOST_EDITS) -> int | None:
+    """How many glyph edits turn a printed word into the word as read; None if more than `most` or if none can."""
+    reached = {(0, 0): 0}
+    best = None
+    while reached:
+        after: dict[tuple[int, int], int] = {}
+        for (i, j), n in reached.items():
+            if i == len(word) and j == len(printed):
+                best = n if best is None else min(best, n)
+                continue
+            steps = [(i + 1, j + 1, n)] if i < len(word) and j < len(printed) and word[i] == printed[j] else []
+            if n < most:
+                for wrong, rights in GLYPHS.items():
+                    if word.startswith(wrong, i):
+                        steps += [(i + len(wrong), j + len(right), n + 1) for right in rights if printed.startswith(right, j)]
+            for x, y, m in steps:
+                if after.get((x, y), most + 1) > m:
+                    after[x, y] = m
+        reached = after
+    return best
+
+
+def readings(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(word, n, options array<struct<printed, n, edits>>) of words: their count and the more frequent words they may be misread from."""
+    frame = F.pandas_udf(lambda w: w.map(skeleton), "string")
+    own = words.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
+    # a reading needs two letters
+    open_words = own.where(F.regexp_count("word", F.lit(r"\p{L}")) >= 2).withColumn("skeleton", frame("word"))
+    linked = open_words.join(counts.select(F.col("word").alias("printed"), F.col("n").alias("m"), frame("word").alias("skeleton")), "skeleton").where((F.col("m") > F.col("n")) & (F.col("word") != F.col("printed")))
+
+    @F.pandas_udf("int")
+    def edits(word: pd.Series, printed: pd.Series) -> pd.Series:
+        return pd.Series([glyph_edits(w, p) for w, p in zip(word, printed)], index=word.index, dtype="Int32")
+
+    found = linked.withColumn("edits", edits("word", "printed")).where("edits > 0").groupBy("word").agg(F.collect_list(F.struct("printed", F.col("m").alias("n"), "edits")).alias("options"))
+    return own.join(found, "word", "left")
+
+
+def skip_grams(sentences: DataFrame, total: int) -> dict[str, np.ndarray]:
+    """Unit vectors of the frequent words of scanned pages, at most 1 / FREQUENT_SHARE. sentences: a written table of (letters)."""
+    least = max(2, int(total * FREQUENT_SHARE))
+    words = sentences.where(F.size("letters") > 0).select("letters")
+    model = Word2Vec(vectorSize=VECTOR, windowSize=WINDOW, minCount=least, maxIter=1, seed=17, inputCol="letters", outputCol="v", stepSize=0.05, numPartitions=sentences.sparkSession.sparkContext.defaultParallelism)
     try:
-        vectors = model.fit(words).getVectors().collect()  # no more words than known_words() has
+        vectors = model.fit(words).getVectors().collect()  # at most 1 / FREQUENT_SHARE rows
     except Exception as e:  # noqa: BLE001 - no word is frequent enough
         if "vocab" not in str(e).lower():
             raise
@@ -117,50 +174,29 @@ def skip_grams(scanned: DataFrame, known: dict[str, int]) -> dict[str, np.ndarra
 
 
 class Reader:
-    """Finds what a misread word was printed as."""
-
-    def __init__(self, known: dict[str, int], vectors: dict[str, np.ndarray]):
-        self.known, self.vectors = known, vectors
-        self.readings = lru_cache(maxsize=200_000)(self._readings)
-
-    def _readings(self, word: str) -> tuple[str, ...]:
-        own = self.known.get(word, 0)
-        letters = sum(c.isalpha() for c in word)
-        if letters < 2 or own * RATIO > 1_000_000_000:
-            return ()
-        first, seen = [word], {word}
-        found: list[str] = []
-        for _ in range(2):  # one glyph edit, else two
-            after = []
-            for w in first:
-                for wrong, rights in GLYPHS.items():
-                    at = w.find(wrong)
-                    while at >= 0:
-                        for right in rights:
-                            x = w[:at] + right + w[at + len(wrong) :]
-                            if x not in seen:
-                                seen.add(x)
-                                after.append(x)
-                        at = w.find(wrong, at + 1)
-            found = [x for x in after if self.known.get(x, 0) >= max(LEAST_COUNT, RATIO * own)]
-            if found or len(after) > 400:
-                break
-            first = after
-        return tuple(sorted(found, key=lambda x: (-self.known[x], x)))
+    """Finds what a misread word was printed as. known: word -> (n, [(printed, n, edits), ...]) of the words asked for."""
+
+    def __init__(self, known: dict[str, tuple[int, list]], vectors: dict[str, np.ndarray], total: int):
+        self.known, self.vectors, self.unseen = known, vectors, max(1e-9, total * UNSEEN_SHARE)
+        self.page: dict[str, tuple[int, list]] = {}  # what is known of the page's own rare words
+
+    def count(self, word: str) -> int:
+        return (self.known.get(word) or self.page.get(word) or (0,))[0]
 
     def read(self, words: list[str], k: int) -> str | None:
         """The printed form of words[k] if it is misread."""
-        options = self.readings(words[k])
+        n, options = self.known.get(words[k]) or self.page.get(words[k]) or (0, ())
         if not options:
             return None
         near = [self.vectors[w] for w in words[max(0, k - CONTEXT) : k] + words[k + 1 : k + 1 + CONTEXT] if w in self.vectors]
-        if not near:
-            return options[0]
-        context = np.mean(near, axis=0)
-        size = float(np.linalg.norm(context)) or 1.0
-        scored = [(float(self.vectors[x] @ context) / size if x in self.vectors else 0.0, x) for x in options]
-        best = max(scored, key=lambda s: s[0])
-        return best[1] if best[0] >= CONTEXT_MIN else None
+        context = np.mean(near, axis=0) if near else None
+        size = float(np.linalg.norm(context)) or 1.0 if near else 1.0
+        scored = []
+        for printed, m, edits in options:
+            fit = float(self.vectors[printed] @ context) / size if near and printed in self.vectors else 0.0
+            scored.append((np.log2(m / (n + self.unseen)) + CONTEXT_WEIGHT * fit - edits, m, printed))
+        best = min(scored, key=lambda x: (-x[0], -x[1], x[2]))
+        return best[2] if best[0] >= EVIDENCE else None
 
 
 def _plain(line: str) -> str:
@@ -224,10 +260,10 @@ def header_lines(scanned: DataFrame, books: DataFrame) -> DataFrame:
     return header.groupBy("id").agg(F.collect_set("line").alias("header"))
 
 
-def repair(text: str, header: set[int], reader: Reader) -> tuple[str, set[str]]:
-    """(the text in paragraphs, kinds of noise that were in it)."""
+def body(text: str, header: set[int]) -> tuple[str, set[str]]:
+    """(the text without furniture, split words put together where that is certain; kinds of noise that were in it)."""
     kinds: set[str] = set()
-    body = []
+    kept = []
     for k, line in enumerate(_LINE.split(text)):
         if k in header:
             kinds.add("header")
@@ -236,20 +272,50 @@ def repair(text: str, header: set[int], reader: Reader) -> tuple[str, set[str]]:
         elif line.strip() and PAGE_NUMBER.match(line):
             kinds.add("page_number")
         else:
-            body.append(line)
-    joined = "\n".join(body)
+            kept.append(line)
 
     def together(m: re.Match) -> str:
-        left, sign, right = m.group(1), m.group(2), m.group(3)
-        whole = (left + right).lower()
-        if sign == "-" and (not right[0].islower() or reader.known.get(whole, 0) < LEAST_COUNT and reader.known.get(left.lower(), 0) >= LEAST_COUNT and reader.known.get(right.lower(), 0) >= LEAST_COUNT):
+        left, sign, right = m.groups()
+        if sign != "-":
+            kinds.add("hyphenation")
+            return left + right
+        return m.group() if right[0].islower() else f"{left}-{right}"
+
+    joined = "\n".join(kept)
+    for _ in range(2):  # a short piece can end one split and begin the next
+        joined = _SPLIT.sub(together, joined)
+    return joined, kinds
+
+
+def flow(joined: str) -> str:
+    """Paragraphs: single line ends are blanks, but before a list item."""
+    return re.sub(r"[ \t]*\n(?!\s*\n)(?<!\n\n)[ \t]*(?!\d+\)|[-*•] )", " ", joined)
+
+
+def asked(joined: str) -> set[str]:
+    """The words whose counts and readings the repair of a body may need."""
+    words = set(words_of(joined))
+    for m in _SPLIT.finditer(joined):
+        left, right = m.group(1).lower(), m.group(3).lower()
+        words |= {left, right, left + right}
+    return words
+
+
+def repair(joined: str, kinds: set[str], reader: Reader) -> tuple[str, set[str]]:
+    """(the text in paragraphs, kinds of noise that were in it) of a body."""
+    kinds = set(kinds)
+
+    def together(m: re.Match) -> str:
+        left, _, right = m.groups()
+        whole, one, two = (reader.count(x.lower()) for x in (left + right, left, right))
+        if min(one, two) > whole:  # words of their own, more often than together
             return f"{left}-{right}"
         kinds.add("hyphenation")
         return left + right
 
-    for _ in range(2):  # a short piece can end one split and begin the next
+    for _ in range(2):
         joined = _SPLIT.sub(together, joined)
-    flowing = re.sub(r"[ \t]*\n(?!\s*\n)(?<!\n\n)[ \t]*(?!\d+\)|[-*•] )", " ", joined)
+    flowing = flow(joined)
     spans = [(m.start(), m.end(), m.group()) for m in WORD.finditer(flowing)]
     words = [w.lower() for _, _, w in spans]
     pieces, at = [], 0
@@ -267,25 +333,48 @@ def repair(text: str, header: set[int], reader: Reader) -> tuple[str, set[str]]:
     return "".join(pieces) + flowing[at:], kinds
 
 
-def repaired(chunks: DataFrame, books: DataFrame) -> DataFrame:
-    """(id, text, noise array<string>) of the chunks that have a page."""
-    spark = chunks.sparkSession
+def repaired(chunks: DataFrame, books: DataFrame, use_vectors: bool = True) -> DataFrame:
+    """(id, text, noise array<string>) of the chunks that have a page. use_vectors: off only to measure what they do."""
+    context = chunks.sparkSession.sparkContext
     scanned = chunks.where(F.col("page").isNotNull()).select("id", "book_id", "raw_text")
-    known = known_words(chunks)
-    vectors = skip_grams(scanned, known)
-    shared = spark.sparkContext.broadcast((known, vectors))  # at most 1 / FLOOR_SHARE entries
+    counts = written(word_counts(chunks), "word-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") >= max(1, total * FREQUENT_SHARE)
+    frequent = {r.word for r in counts.where(often).select("word").toLocalIterator()}  # at most 1 / FREQUENT_SHARE words
+    common = context.broadcast(frequent)
+
+    def bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for text, header in zip(b["raw_text"], b["header"]):
+                joined, kinds = body(tidy(text), set() if header is None else set(header.tolist())) if text else (text, set())
+                rows.append((joined, sorted(kinds), _LETTERS.findall(_SPLIT.sub(" ", joined).lower()) if joined else [], sorted(asked(joined) - common.value) if joined else []))
+            yield pd.DataFrame({"id": b["id"]} | {c: pd.Series([r[k] for r in rows], index=b.index, dtype=object) for k, c in enumerate(("body", "kinds", "letters", "rare"))})
+
+    headed = scanned.join(header_lines(scanned, books), "id", "left")
+    made = headed.mapInPandas(bodies, "id long, body string, kinds array<string>, letters array<string>, rare array<string>")
+    table_of_bodies = written(made.withColumn("row", F.monotonically_increasing_id()), "bodies")  # the numbers are fixed by writing them
+    vectors = skip_grams(table_of_bodies, total) if use_vectors else {}
+    wanted = table_of_bodies.select("row", F.explode("rare").alias("word"))
+    told = written(readings(wanted.select("word").unionByName(counts.where(often).select("word")).distinct(), counts), "readings")
+    of_frequent = {r.word: (r.n, [tuple(o) for o in r.options or ()]) for r in told.where(often).toLocalIterator()}  # at most 1 / FREQUENT_SHARE rows
+    shared = context.broadcast((of_frequent, vectors, total))
+    # words below FREQUENT_SHARE, so none of them is a hot key
+    useful = told.where(~often & (F.col("options").isNotNull() | (F.col("n") > 0)))
+    per_page = wanted.join(useful, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n", "options")).alias("words"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(*shared.value)
         for b in batches:
             texts, kinds = [], []
-            for text, header in zip(b["raw_text"], b["header"]):
-                t, k = repair(tidy(text), set() if header is None else set(header.tolist()), reader) if text else (text, set())
+            for joined, known, words in zip(b["body"], b["kinds"], b["words"]):
+                reader.page = {} if words is None else {w["word"]: (w["n"], [(o["printed"], o["n"], o["edits"]) for o in w["options"]] if w["options"] is not None else []) for w in words}
+                t, k = repair(joined, set(known.tolist()), reader) if joined else (joined, set())
                 texts.append(t)
                 kinds.append(sorted(k))
             yield pd.DataFrame({"id": b["id"], "text": pd.Series(texts, index=b.index, dtype=object), "noise": pd.Series(kinds, index=b.index, dtype=object)})
 
-    rows = scanned.select("id", "raw_text").join(header_lines(scanned, books), "id", "left")
+    rows = table_of_bodies.select("row", "id", "body", "kinds").join(per_page, "row", "left")
     return rows.mapInPandas(run, "id long, text string, noise array<string>")
 
 
