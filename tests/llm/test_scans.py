@@ -79,7 +79,7 @@ def test_context_decides():
 def tables(spark, times=1):
     books = spark.createDataFrame([(1, "Слово о саде", "Иван Листов", 0), (2, None, None, 0)], "id long, title string, author string, page int")
     body = "Старый роман сравнивает словарь и хранит\nпечатную книгу рядом с окном."
-    rows = [(100 + i, 9, body.replace("\n", " "), None) for i in range(60)]
+    rows = [(500 + i, 9, body.replace("\n", " "), None) for i in range(400)]
     rows += [(1, 1, f"Слово о садде\n{body}", 1), (2, 1, f"12   ИВАН ЛИСТОВ\n{body}", 2), (3, 1, f"Глава 1. Старый роман\n{body}", 3), (4, 2, f"{body}\nстр. 4", 4), (5, 2, None, 5), (6, 2, "", 6), (7, 2, body.replace("роман", "р0ман"), 7), (7, 2, body.replace("роман", "р0ман"), 7), (8, 3, body.replace("печатную", "псчатную"), 8)]
     return spark.createDataFrame([(i + 1000 * t, book + 10 * t, *r) for t in range(times) for i, book, *r in rows], "id long, book_id long, raw_text string, page int"), books
 
