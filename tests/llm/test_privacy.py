@@ -36,3 +36,30 @@ def test_names_learned(spark):
     assert [[f.pii_text for f in out[n + k].found] for k in range(4)] == [["талғат юлдашев"], ["ЗӨФӘР МЕРГЕНОВ"], ["Есенов Талғат"], ["Ирине Крыловой"]]
     assert out[n + 4].text is None and out[n + 5].text == "" and out[n + 6].text == texts[-1] and not out[n - 1].found
     assert P.sanitised(df.limit(0)).count() == 0
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    return {r.id: [f.pii_text for f in r.found if f.pii_type == "name"] for r in P.sanitised(df).collect()}
+
+
+def test_protected_entities_reveal_the_names(spark):
+    """The same sentences with and without what reveals: terms that go with nothing protected disclose nobody."""
+    pairs = [(g, s) for g in ("Анвур", "Белиз", "Вестор") for s in ("Крол", "Мошт", "Дарн", "Фелс")] * 4
+    dull = ["Старый том лежит в зале и ждёт, а новый том стоит рядом."] * 60
+    assert not any(found(spark, [f"Том взяли {g} {s} вчера." for g, s in pairs] + dull).values())
+    got = found(spark, [f"Том взяли {g} {s} вчера, тел 8 142 456 37 90." for g, s in pairs] + dull)
+    assert [got[i] for i in range(len(pairs))] == [[f"{g} {s}"] for g, s in pairs]
+
+
+def test_same_names_in_a_corpus_repeated(spark):
+    texts = corpus() + ["меня зовут талғат юлдашев. Жду", "спросить ЗӨФӘР МЕРГЕНОВ", "Ждёт Есенов Талғат Старый том"]
+    once, often = found(spark, texts), found(spark, texts * 20)
+    assert all(often[i] == once[i % len(texts)] for i in often)
+
+
+def test_rare_terms_reach_their_documents_by_joins(spark, monkeypatch):
+    texts = corpus() + ["спросить ЗӨФӘР МЕРГЕНОВ"]
+    want = found(spark, texts)
+    monkeypatch.setattr(P, "FREQUENT_SHARE", 1.0)  # nothing is frequent
+    assert found(spark, texts) == want
