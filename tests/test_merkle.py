@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from tomeforge.operators.merkle import IncrementalStore, Superseded, TreeShape, build_tree, changed_leaves, changes, snapshot
+from tomeforge.operators.merkle import IncrementalStore, TreeShape, build_tree, changed_leaves, changes, snapshot
+from tomeforge.operators.versions import Superseded
 
 SHAPE = TreeShape(8, 4)
 

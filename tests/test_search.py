@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomeforge.operators.filters import SearchFilters, filter_books
-from tomeforge.operators.fulltext import build_postings, query_terms, rank_chunks, rank_postings, search_text, snippet_of
+from tomeforge.operators.fulltext import TextIndex, query_terms, rank_chunks, search_text, snippet_of
 from tomeforge.operators.hybrid import above, exact_match, fuse, search_hybrid, stable_order
 from tomeforge.operators.vectors import HashingEmbedder, add_or_replace, check_model, embed, nearest, nearest_blockwise, pending_chunks, search_semantic
 from tomeforge.schemas import BOOKS, CHUNKS, VECTORS
@@ -19,7 +19,7 @@ def library(spark, rows):
 
 
 @pytest.mark.parametrize("phrase", [False, True])
-def test_bm25_against_sqlite(spark, phrase):
+def test_bm25_against_sqlite(spark, phrase, tmp_path):
     r = random.Random(7)
     words = [f"слово{i}" for i in range(12)]
     rows = [(i, " ".join(r.choices(words, k=r.randrange(1, 20))), " ".join(r.choices(words, k=r.randrange(0, 20)))) for i in range(60)]
@@ -27,22 +27,30 @@ def test_bm25_against_sqlite(spark, phrase):
     db.execute("create virtual table t using fts5(raw_text, lemma_text, tokenize='unicode61 remove_diacritics 2')")
     db.executemany("insert into t(rowid, raw_text, lemma_text) values (?, ?, ?)", rows)
     df = spark.createDataFrame(rows, "id long, raw_text string, lemma_text string")
+    index = TextIndex(spark, f"file://{tmp_path}/i", buckets=4).build(df)
     for terms in (["слово1"], ["слово1", "слово2"], ["слово3", "слово3"]):
         join = '"' + " ".join(terms) + '"' if phrase else None
         match = f"raw_text : {join} OR lemma_text : {join}" if phrase else "(" + " AND ".join(f'raw_text : "{t}"' for t in terms) + ") OR (" + " AND ".join(f'lemma_text : "{t}"' for t in terms) + ")"
         want = dict(db.execute("select rowid, bm25(t, 1.5, 1.0) from t where t match ?", (match,)).fetchall())
         got = {x.id: x.rank for x in rank_chunks(df, terms, terms, phrase).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-        if not phrase:
-            index = {x.id: x.rank for x in rank_postings(*build_postings(df), terms, terms).collect()}
-            assert index.keys() == want.keys() and all(abs(index[k] - want[k]) < 1e-9 for k in want)
+        stored = {x.id: x.rank for x in index.rank(terms, terms, phrase).collect()}
+        assert stored.keys() == want.keys() and all(abs(stored[k] - want[k]) < 1e-9 for k in want)
+    plan = index.rank(["слово1"], [])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    index.optimize()
+    assert index.current()["version"] == 2 and index.rank(["слово1"], []).count() == rank_chunks(df, ["слово1"], []).count()
+    assert index.rank([], []).count() == 0 and TextIndex(spark, f"file://{tmp_path}/e").build(df.limit(0)).rank(["слово1"], []).count() == 0
 
 
-def test_keyword_search(spark):
+def test_keyword_search(spark, tmp_path):
     books, chunks = library(spark, [("exact.txt", "Туманная книга стоит на полке.", "туманный книга стоять на полка", None, "txt", "ru"), ("other.txt", "Книга может быть туманной, но слова разделены.", "книга мочь быть туманный но слово разделить", None, "txt", "ru"), ("none.fb2", "Роман", "роман", "Nisargadatta Maharaj", "fb2", "kk")])
     hits = search_text(chunks, books, "туманная книга", phrase=True, lemma_query="туманный книга").collect()
     assert [h.source_path for h in hits] == ["exact.txt"] and hits[0].excerpt == "«Туманная книга» стоит на полке."
     assert search_text(chunks, books, "  ").count() == 0
+    index = TextIndex(spark, f"file://{tmp_path}/i", buckets=4).build(chunks)
+    stored = search_text(chunks, books, "туманная книга", phrase=True, lemma_query="туманный книга", index=index).collect()
+    assert [(h.source_path, h.excerpt, h["rank"]) for h in stored] == [(h.source_path, h.excerpt, h["rank"]) for h in hits] and search_text(chunks, books, "  ", index=index).count() == 0
     allowed = filter_books(books, SearchFilters(author="mahar", format_name="FB2", language="KK"))
     assert [r.source_path for r in allowed.collect()] == ["none.fb2"] and search_text(chunks, allowed, "роман").count() == 1 and search_text(chunks, allowed, "книга").count() == 0
 

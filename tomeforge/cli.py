@@ -7,41 +7,88 @@ import json
 import sys
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeforge.functions.lemma import lemmas_of
 from tomeforge.operators.filters import SearchFilters, filter_books
-from tomeforge.operators.fulltext import search_text
+from tomeforge.operators.fulltext import TextIndex, query_terms, search_text
 from tomeforge.operators.hybrid import ALPHA, CANDIDATES, search_hybrid
 from tomeforge.operators.taxonomy import MIN_SCORE, TOP_N, book_sample, classify
 from tomeforge.operators.timeline import MIN_CONFIDENCE, extract
-from tomeforge.operators.vectors import HashingEmbedder, embed, pending_chunks, search_semantic
-from tomeforge.runtime import build_session
-from tomeforge.schemas import BOOKS, CHUNKS, INDEX_STATE, VECTORS
+from tomeforge.operators.vectors import Embedder, HashingEmbedder, embed, live_vectors, pending_chunks, search_semantic
+from tomeforge.operators.versions import Versions
+from tomeforge.runtime import build_session, written
+from tomeforge.schemas import BOOK_CATEGORIES, BOOKS, CHUNKS, INDEX_STATE, LEMMAS, TIMELINE, VECTORS, conform
+from tomeforge.sources.files import index_files, maintain, scan
 
 GATE_MS = 2000
 
 
-class Store:
-    """The tables of one collection, each a folder; a new version replaces the old one when it is complete."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+class Store(Versions):
+    """The tables of one collection, as they were left by the last finished command; a command publishes all it wrote in one step."""
 
     def read(self, name: str, schema) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except Exception:  # noqa: BLE001 - not written yet
-            return self.spark.createDataFrame([], schema)
-
-    def write(self, name: str, df: DataFrame) -> None:
-        draft = f"{self.path}/{name}.new"
-        df.write.mode("overwrite").parquet(draft)
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path
-        fs = p(draft).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(p(f"{self.path}/{name}"), True)
-        fs.rename(p(draft), p(f"{self.path}/{name}"))
+        """A table that no command has written yet is empty; any other failure to read it is one."""
+        state = self.current()
+        folder = state["tables"].get(name) if state else None
+        return conform(self.spark.read.parquet(folder), schema) if folder else self.spark.createDataFrame([], schema)
+
+    def write(self, facts: dict | None = None, **tables: DataFrame) -> None:
+        """Write the tables and publish them together, with facts about them; the others stay as they are."""
+        state = self.current()
+        folders = {}
+        for name, df in tables.items():
+            folders[name] = f"{self.new_folder()}/{name}"
+            df.write.parquet(folders[name])
+        old = state or {"tables": {}, "facts": {}}
+        self.publish(state, {"tables": old["tables"] | folders, "facts": old["facts"] | (facts or {})})
+
+    def fact(self, name: str):
+        state = self.current()
+        return state["facts"].get(name) if state else None
+
+    @property
+    def index(self) -> TextIndex:
+        return TextIndex(self.spark, f"{self.path}/text_index")
+
+
+def index_new(store: Store, files: DataFrame) -> dict:
+    """Index files, bring the text index up to date and report; books, chunks and state change together or not at all."""
+    lemmas = store.read("lemmas", LEMMAS)
+    lemmas = None if lemmas.isEmpty() else lemmas
+    b, k, s, results = index_files(files, store.read("books", BOOKS), store.read("chunks", CHUNKS), store.read("index_state", INDEX_STATE), across_runs=True, lemmas=lemmas)
+    rows = _rows(results)
+    if any(r["status"] == "indexed" for r in rows):
+        store.write(books=b, chunks=k, index_state=s)
+        store.index.build(store.read("chunks", CHUNKS).select("id", "raw_text", "lemma_text"))
+    counts = {status: sum(r["status"] == status for r in rows) for status in ("indexed", "skipped")}
+    return {"scanned": len(rows), **counts, "duplicates": [r for r in rows if r["reason"] in ("binary-match", "normalized-content-match")], "errors": [r for r in rows if r["status"] == "error"]}
+
+
+def embed_new(store: Store, embedder: Embedder, batch_size: int = 32) -> dict:
+    """Vectors of the chunks that have none of this model yet; those of chunks that are gone are left out."""
+    chunks, vectors = store.read("chunks", CHUNKS), store.read("vectors", VECTORS)
+    done = written(embed(pending_chunks(chunks, vectors, embedder.model), embedder, batch_size), "embedded")
+    fresh = done.where(F.col("error").isNull()).drop("error")
+    n = fresh.count()
+    if n:
+        kept = live_vectors(vectors, chunks).join(fresh.select("chunk_id", "model"), ["chunk_id", "model"], "left_anti").unionByName(fresh)
+        store.write({"model": embedder.model, "dimension": embedder.dimension}, vectors=kept)
+    return {"embedded": n, "errors": _rows(done.where(F.col("error").isNotNull()).select("chunk_id", "error"))}
+
+
+def take_in(store: Store, embedder: Embedder, batch: DataFrame) -> dict:
+    """One batch of a watched folder: the text stage, then the vector stage unless all files were duplicates. stage: where it ended."""
+    stage = "text"
+    try:
+        report = index_new(store, batch)
+        if report["indexed"]:
+            stage = "vectors"
+            report |= embed_new(store, embedder)
+        return report | {"status": "failed" if report["errors"] else "duplicate" if not report["indexed"] and report["duplicates"] else "done", "stage": stage}
+    except Exception as e:  # noqa: BLE001 - the watch goes on; the batch is reported with what went wrong
+        return {"status": "failed", "stage": stage, "error": str(e)[:500]}
 
 
 def _filters(a: argparse.Namespace) -> SearchFilters:
@@ -58,6 +105,8 @@ def run(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     ingest = sub.add_parser("index-files")
     ingest.add_argument("--path", required=True)
+    ingest.add_argument("--lemmas", help="parquet of (form, lemma), kept with the collection")
+    sub.add_parser("optimize")
     sub.add_parser("index-vectors").add_argument("--batch-size", type=int, default=32)
     for name in ("search-text", "search-semantic", "search-hybrid"):
         s = sub.add_parser(name)
@@ -83,45 +132,37 @@ def run(argv: list[str] | None = None) -> int:
     books, chunks = store.read("books", BOOKS), store.read("chunks", CHUNKS)
     code, out = 0, {}
 
-    def index(files: DataFrame) -> dict:
-        from tomeforge.runtime import written
-        from tomeforge.sources.files import index_files
-
-        b, k, s, results = index_files(files, store.read("books", BOOKS), store.read("chunks", CHUNKS), store.read("index_state", INDEX_STATE), across_runs=True)
-        b, k, s, results = (written(x, "index") for x in (b, k, s, results))
-        for name, df in (("books", b), ("chunks", k), ("index_state", s)):
-            store.write(name, df)
-        rows = _rows(results)
-        return {"scanned": len(rows), "indexed": sum(r["status"] == "indexed" for r in rows), "skipped": sum(r["status"] == "skipped" for r in rows), "errors": [r for r in rows if r["status"] == "error"]}
-
+    embedder = HashingEmbedder()
     if a.command == "index-files":
-        from tomeforge.sources.files import scan
-
-        out = index(scan(spark, a.path))
+        if a.lemmas:
+            store.write(lemmas=conform(spark.read.parquet(a.lemmas), LEMMAS))
+        out = index_new(store, scan(spark, a.path))
         code = int(bool(out["errors"]))
+    elif a.command == "optimize":
+        maintain(spark, "optimize", store.index.path)
     elif a.command == "index-vectors":
-        vectors, e = store.read("vectors", VECTORS), HashingEmbedder()
-        from tomeforge.runtime import written
-
-        done = written(embed(pending_chunks(chunks, vectors, e.model), e, a.batch_size), "embedded")
-        fresh = done.where(F.col("error").isNull()).drop("error")
-        store.write("vectors", written(vectors.join(fresh.select("chunk_id", "model"), ["chunk_id", "model"], "left_anti").unionByName(fresh), "vectors"))
-        out = {"embedded": fresh.count(), "errors": _rows(done.where(F.col("error").isNotNull()).select("chunk_id", "error"))}
+        out = embed_new(store, embedder, a.batch_size)
         code = int(bool(out["errors"]))
     elif a.command.startswith("search-"):
         if not 0 <= a.alpha <= 1:
             print(json.dumps({"error": "alpha must be between 0 and 1"}))
             return 2
+        model = store.fact("model")
+        if a.command != "search-text" and model and (model, store.fact("dimension")) != (embedder.model, embedder.dimension):
+            print(json.dumps({"error": f"the vectors were made by {model}, not {embedder.model}"}))
+            return 2
+        index = store.index if store.index.current() else None
         times = []
         for _ in range(max(1, a.repeats)):
             began = time.time()
-            e = HashingEmbedder()
+            lemmas = store.read("lemmas", LEMMAS)
+            lemma_query = None if lemmas.isEmpty() else " ".join(lemmas_of(query_terms(a.query), lemmas))
             if a.command == "search-text":
-                hits = search_text(chunks, filter_books(books, _filters(a)), a.query, a.limit, a.phrase_mode)
+                hits = search_text(chunks, filter_books(books, _filters(a)), a.query, a.limit, a.phrase_mode, lemma_query, index=index)
             elif a.command == "search-semantic":
-                hits = search_semantic(store.read("vectors", VECTORS), chunks, books, e.embed([a.query])[0], a.limit, filters=_filters(a))
+                hits = search_semantic(store.read("vectors", VECTORS), chunks, books, embedder.embed([a.query])[0], a.limit, filters=_filters(a))
             else:
-                hits = search_hybrid(chunks, books, store.read("vectors", VECTORS), a.query, e.embed([a.query])[0], a.limit, a.alpha, a.phrase_mode, a.candidate_limit, _filters(a))
+                hits = search_hybrid(chunks, books, store.read("vectors", VECTORS), a.query, embedder.embed([a.query])[0], a.limit, a.alpha, a.phrase_mode, a.candidate_limit, _filters(a), lemma_query=lemma_query, index=index)
             rows = _rows(hits) if a.query.strip() else []
             times.append(round((time.time() - began) * 1000, 2))
         out = {"query": a.query, "limit": a.limit, "phrase_mode": a.phrase_mode, "results": rows}
@@ -130,12 +171,14 @@ def run(argv: list[str] | None = None) -> int:
             code = 2 if max(times) > GATE_MS else 0
     elif a.command == "classify-books":
         found = classify(book_sample(chunks), min_score=a.min_score, top_n=a.top_n)
-        store.write("book_categories", found.select("book_id", "category_id"))
+        # books that have been assigned by hand keep their categories
+        own = store.read("book_categories", BOOK_CATEGORIES)
+        store.write(book_categories=own.unionByName(conform(found.join(own.select("book_id").distinct(), "book_id", "left_anti"), BOOK_CATEGORIES)))
         rows = _rows(found.withColumn("score", F.round("score", 4)))
         out = {"classified": len({r["book_id"] for r in rows}), "results": rows}
     elif a.command == "build-timeline":
-        store.write("timeline", extract(chunks, least=a.min_confidence))
-        rows = _rows(spark.read.parquet(f"{store.path}/timeline").groupBy("book_id").count())
+        store.write(timeline=extract(chunks, least=a.min_confidence))
+        rows = _rows(store.read("timeline", TIMELINE).groupBy("book_id").count())
         out = {"total_events": sum(r["count"] for r in rows), "books": rows}
     else:
         from tomeforge.streaming.watch import arrivals, consume
@@ -145,7 +188,7 @@ def run(argv: list[str] | None = None) -> int:
         except ValueError as e:
             print(json.dumps({"error": str(e)}))
             return 2
-        q = consume(stream, lambda batch, _: print(json.dumps(index(batch), default=str)), f"{a.store}/_watch", a.once)
+        q = consume(stream, lambda batch, _: print(json.dumps(take_in(store, embedder, batch), ensure_ascii=False, default=str)), f"{a.store}/_watch", a.once)
         q.awaitTermination()
     print(json.dumps(out, ensure_ascii=False, indent=2, default=str))
     return code

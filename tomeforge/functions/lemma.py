@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 #: A seed; callers pass a larger table.
 SEED = {"книга": "книга", "книги": "книга", "книгу": "книга", "книге": "книга", "книгой": "книга", "книг": "книга", "ежик": "ежик", "ежика": "ежик", "ежике": "ежик", "елка": "елка", "елки": "елка", "елку": "елка"}
-_ENDINGS = "(иями|ями|ами|ией|иям|ием|иях|ого|его|ому|ему|ыми|ими|ая|яя|ую|юю|ое|ее|ые|ие|ый|ий|ой|ей|ам|ям|ах|ях|ов|ев|ом|ем|ою|ею|а|я|о|е|ы|и|у|ю|ь|й)$"
+ENDINGS = "(иями|ями|ами|ией|иям|ием|иях|ого|его|ому|ему|ыми|ими|ая|яя|ую|юю|ое|ее|ые|ие|ый|ий|ой|ей|ам|ям|ах|ях|ов|ев|ом|ем|ою|ею|а|я|о|е|ы|и|у|ю|ь|й)$"
 
 
 def stem(c):
-    return F.when(F.length(c) > 4, F.regexp_replace(c, _ENDINGS, "")).otherwise(c)
+    return F.when(F.length(c) > 4, F.regexp_replace(c, ENDINGS, "")).otherwise(c)
 
 
 def learn_dictionary(chunks: DataFrame, raw: str = "raw_text", lemma: str = "lemma_text") -> DataFrame:
@@ -29,6 +29,16 @@ def learn_dictionary(chunks: DataFrame, raw: str = "raw_text", lemma: str = "lem
     return counted.groupBy("form").agg(F.max(F.struct("n", "lemma")).alias("m")).select("form", F.col("m.lemma").alias("lemma"))
 
 
+def lemmas_of(terms: list[str], dictionary: DataFrame) -> list[str]:
+    """The lemmas of a query's terms, in order; only the dictionary's rows of their forms and stems are read into the plan."""
+    if not terms:
+        return []
+    asked = dictionary.sparkSession.createDataFrame([(0, terms)], "id int, terms array<string>")
+    stems = [r.s for r in asked.select(F.explode("terms").alias("t")).select(stem(F.col("t")).alias("s")).collect()]
+    near = dictionary.where(F.col("form").isin(terms) | stem(F.col("form")).isin(stems))
+    return lemmatize(asked, "id", "terms", near).first().lemma_text.split(" ")
+
+
 def lemmatize(df: DataFrame, id_col: str, terms_col: str, dictionary: DataFrame | None = None) -> DataFrame:
     """(id, lemma_text): the terms of each row replaced by their lemmas, in order."""
     spark = df.sparkSession

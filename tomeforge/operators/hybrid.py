@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tomeforge.functions.rewrite import STOPWORDS, rewrite
 from tomeforge.functions.text import canonical_path, display, location
 from tomeforge.operators.filters import SearchFilters, clamp_limit, filter_books
-from tomeforge.operators.fulltext import search_text
+from tomeforge.operators.fulltext import TextIndex, search_text
 from tomeforge.operators.vectors import search_semantic
 
 ALPHA, MIN_SCORE, CANDIDATES = 0.7, 0.2, 64
@@ -76,14 +76,14 @@ def first_per_item(hits: DataFrame, order: list[Column], path: str = "source_pat
     return hits.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def search_hybrid(chunks: DataFrame, books: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], limit: int = 10, alpha: float = ALPHA, phrase: bool = False, candidates: int = CANDIDATES, filters: SearchFilters | None = None, boost: float = EXACT_BOOST, compat: bool = False, **tables: DataFrame) -> DataFrame:
+def search_hybrid(chunks: DataFrame, books: DataFrame, vectors: DataFrame, query: str, query_vector: list[float], limit: int = 10, alpha: float = ALPHA, phrase: bool = False, candidates: int = CANDIDATES, filters: SearchFilters | None = None, boost: float = EXACT_BOOST, compat: bool = False, lemma_query: str | None = None, index: TextIndex | None = None, **tables: DataFrame) -> DataFrame:
     """Both branches over the same filtered books; compat: the semantic branch ignores the filters."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be between 0 and 1")
     limit, text = clamp_limit(limit), rewrite(query)
     allowed = filter_books(books, filters or SearchFilters(), **tables)
     pool = max(limit, candidates)
-    kw = search_text(chunks, allowed, text.search, pool, phrase).select(*HIT, F.col("rank").alias("keyword_rank"))
+    kw = search_text(chunks, allowed, text.search, pool, phrase, lemma_query, index=index).select(*HIT, F.col("rank").alias("keyword_rank"))
     sem = search_semantic(vectors, chunks, books if compat else allowed, query_vector, pool).select(*HIT, F.col("score").alias("semantic_score"))
     both = kw.select("chunk_id", F.struct(*HIT).alias("k"), "keyword_rank").join(sem.select("chunk_id", F.struct(*HIT).alias("s"), "semantic_score"), "chunk_id", "full_outer")
     merged = both.select(F.coalesce("k", "s").alias("h"), "keyword_rank", "semantic_score").select("h.*", "keyword_rank", "semantic_score")

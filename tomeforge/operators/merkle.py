@@ -20,15 +20,13 @@ tree, against which every key is new; extra columns are ignored.
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeforge.runtime import delete_path
+from tomeforge.operators.versions import Versions
 
 ROWS_PER_LEAF = 16
 TREE = "level int, node long, n long, hash string"
@@ -36,10 +34,6 @@ TREE = "level int, node long, n long, hash string"
 FOLDER_BITS = 12
 
 
-class Superseded(RuntimeError):
-    """Another run has published a version meanwhile."""
-
-
 @dataclass(frozen=True)
 class TreeShape:
     """leaf_bits: the key space is cut into 2**leaf_bits ranges; fan_bits: 2**fan_bits children per node."""
@@ -154,34 +148,9 @@ def store_rows(rows: DataFrame, path: str, shape: TreeShape) -> None:
     placed.repartition("folder").sortWithinPartitions("folder", "leaf").write.partitionBy("folder").parquet(path)
 
 
-class IncrementalStore:
+class IncrementalStore(Versions):
     """A folder that holds, per successful run, the run's output, the snapshot it covered and that snapshot's tree."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self) -> list[int]:
-        jvm, fs = self._fs()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_published")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(folder) if s.getPath().getName().isdigit()) if fs.exists(folder) else []
-
-    def current(self) -> dict | None:
-        """The latest published version: version, folder, leaf_bits and fan_bits of its tree; None before the first."""
-        versions = self._versions()
-        if not versions:
-            return None
-        jvm, fs = self._fs()
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_published/{versions[-1]:012d}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
     def _rows(self, folder: str, kinds: dict) -> DataFrame:
         return self.spark.read.schema(f"key {kinds['key']}, digest {kinds['digest']}, leaf long, folder int").parquet(f"{folder}/rows")
 
@@ -196,7 +165,7 @@ class IncrementalStore:
         return self.spark.read.parquet(f"{state['folder']}/output")
 
     def _draft(self, rows: DataFrame, shape: TreeShape) -> str:
-        folder = f"{self.path}/v-{uuid.uuid4().hex}"
+        folder = self.new_folder()
         store_rows(rows, f"{folder}/rows", shape)
         build_tree(self._rows(folder, dict(rows.dtypes)), shape).write.parquet(f"{folder}/tree")
         return folder
@@ -233,40 +202,5 @@ class IncrementalStore:
         shape = self._shape(rows, state)
         folder = self._draft(rows, shape)
         process(self._pending(folder, dict(rows.dtypes), shape, state)).write.parquet(f"{folder}/output")
-        version = state["version"] + 1 if state else 1
-        self._publish({"version": version, "folder": folder, "leaf_bits": shape.leaf_bits, "fan_bits": shape.fan_bits, "kinds": dict(rows.dtypes)})
+        self.publish(state, {"folder": folder, "leaf_bits": shape.leaf_bits, "fan_bits": shape.fan_bits, "kinds": dict(rows.dtypes)})
         return self.spark.read.parquet(f"{folder}/output")
-
-    def _publish(self, state: dict) -> None:
-        """Create the version's file; only one run can, as a rename never replaces a file that is there."""
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path
-        fs.mkdirs(path(f"{self.path}/_published"))
-        draft = path(f"{state['folder']}/_state")
-        stream = fs.create(draft, True)
-        stream.write(bytearray(json.dumps(state).encode()))
-        stream.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        target = path(f"{self.path}/_published/{state['version']:012d}")
-        try:
-            context.rename(draft, target, options)
-        except Exception as e:
-            if fs.exists(target):
-                raise Superseded(f"version {state['version']} was published by another run") from e
-            raise
-
-    def vacuum(self, keep: int = 2, older_than_seconds: float = 86_400.0) -> int:
-        """Delete folders that belong to none of the last `keep` versions and have been untouched for a while; returns their number."""
-        jvm, fs = self._fs()
-        path, used = jvm.org.apache.hadoop.fs.Path, set()
-        for v in self._versions()[-max(1, keep) :]:
-            stream = fs.open(path(f"{self.path}/_published/{v:012d}"))
-            used.add(json.loads(bytes(stream.readAllBytes()).decode())["folder"].rsplit("/", 1)[-1])
-            stream.close()
-        limit = jvm.java.lang.System.currentTimeMillis() - older_than_seconds * 1000
-        gone = [s.getPath().getName() for s in fs.listStatus(path(self.path)) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in used and s.getModificationTime() <= limit]
-        for name in gone:
-            delete_path(self.spark, f"{self.path}/{name}")
-        return len(gone)

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeforge.functions.text import fingerprint, semantic_excerpt
@@ -102,6 +102,46 @@ def nearest_blockwise(vectors: DataFrame, query: list[float], k: int, id_col: st
     return vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col).mapInPandas(run, f"{id_col} long, score double").orderBy(F.desc("score"), id_col).limit(k)
 
 
+#: Vectors of one block; two blocks meet in one task as one matrix product.
+BLOCK = 20_000
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): the k nearest of every query by cosine. queries: (query_id, embedding), of any number.
+
+    Vectors and queries are dealt out in blocks; every pair of blocks is one matrix product of which k rows per query
+    remain, so neither side is sent to all tasks and only k rows per query and block are compared afterwards.
+    """
+    check_positive("k", k)
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("v"))
+    n_rows, n_asked = max(1, -(-rows.count() // block)), max(1, -(-asked.count() // block))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_rows = max(n_rows, -(-cores // n_asked))
+    left = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(n_asked))).withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
+    right = rows.withColumn("r", F.pmod(F.xxhash64("id"), F.lit(n_rows))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long"))))
+
+    def unit(x: pd.Series) -> np.ndarray:
+        m = np.stack(x.to_numpy()).astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        b = b.sort_values("id")
+        base, ids, out = unit(b["v"]), b["id"].to_numpy(), []
+        for at in range(0, len(a), 256):
+            part = a.iloc[at : at + 256]
+            score = unit(part["v"]) @ base.T
+            top = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :k]  # ties by id
+            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "id": ids[top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()}))
+        return pd.concat(out)
+
+    met = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(best, "query_id long, id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "score", "rank")
+
+
 def add_or_replace(vectors: DataFrame, fresh: DataFrame, dimension: int) -> DataFrame:
     """vectors with fresh (chunk_id, model, fingerprint, embedding) in place of the same chunk and model."""
     bad = fresh.agg(F.count_if(F.size("embedding") != dimension).alias("wrong"), (F.count(F.lit(1)) - F.count_distinct("chunk_id", "model")).alias("twice"), F.count(F.lit(1)).alias("n")).first()

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tomeforge.functions.rewrite import STOPWORDS
 from tomeforge.functions.text import fingerprint
 from tomeforge.operators.filters import SearchFilters, filter_books
-from tomeforge.operators.fulltext import B, K1, LEMMA_WEIGHT, RAW_WEIGHT, build_postings, rank_chunks, rank_postings, search_text
+from tomeforge.operators.fulltext import B, K1, LEMMA_WEIGHT, RAW_WEIGHT, TextIndex, build_postings, rank_chunks, search_text
 from tomeforge.operators.hybrid import above, exact_match, first_per_item, fuse, rerank_score, search_hybrid
 from tomeforge.operators.taxonomy import THESAURUS, book_sample, classify
 from tomeforge.operators.timeline import extract
-from tomeforge.operators.vectors import HashingEmbedder, embed, live_vectors, nearest, nearest_blockwise, pending_chunks
+from tomeforge.operators.vectors import HashingEmbedder, add_or_replace, embed, live_vectors, nearest, nearest_blockwise, nearest_many, pending_chunks
 from tomeforge.plans.pipeline import _SPANS
 from tomeforge.plans.texts import tok_sql
-from tomeforge.runtime import table
+from tomeforge.runtime import shared_path, table
 
 TERMS = ["древний", "указатель"]
 PHRASE = ["рядом", "с", "алфавитным", "ящиком"]
@@ -66,35 +66,54 @@ def search_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings_stats(spark: SparkSession, d: str) -> DataFrame:
-    postings, _ = build_postings(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True))
+    postings = build_postings(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True))
     return postings.groupBy("token", "col").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("tf").alias("n_total"), F.max(F.array_max("positions")).alias("last_pos"))
 
 
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def _index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of a folder's chunks, built by the session's first search in it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = TextIndex(spark, shared_path(spark, "text-index")).build(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True))
+    return _indexes[key]
+
+
 def _top(ranked: DataFrame) -> DataFrame:
     return ranked.select("id", F.round("rank", 9).alias("rank")).orderBy("rank", "id").limit(TOP)
 
 
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True), TERMS, []))
+    return _top(_index(spark, d).rank(TERMS, []))
 
 
 def bm25_or_lemma(spark: SparkSession, d: str) -> DataFrame:
-    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True), TERMS, TERMS))
+    return _top(_index(spark, d).rank(TERMS, TERMS))
 
 
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
-    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True), PHRASE, [], phrase=True))
+    return _top(_index(spark, d).rank(PHRASE, [], phrase=True))
 
 
-def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
-    return _top(rank_postings(*build_postings(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True)), TERMS, TERMS))
+def bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Without an index, over the text columns."""
+    return _top(rank_chunks(table(spark, d, "chunks", ["id", "raw_text", "lemma_text"], spread=True), TERMS, TERMS))
 
 
 def search_snippets(spark: SparkSession, d: str) -> DataFrame:
-    hits = search_text(table(spark, d, "chunks", spread=True), _books(spark, d), QUERY, limit=TOP)
+    hits = search_text(table(spark, d, "chunks"), _books(spark, d), QUERY, limit=TOP, index=_index(spark, d))
     return hits.select("chunk_id", "source_path", F.round("rank", 9).alias("rank"), "excerpt")
 
 
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    """A filtered search: only books of one format."""
+    allowed = filter_books(_books(spark, d), SearchFilters(format_name="pdf"))
+    hits = search_text(table(spark, d, "chunks"), allowed, QUERY, limit=TOP, excerpt=False, index=_index(spark, d))
+    return hits.select("chunk_id", "source_path", F.round("rank", 9).alias("rank"))
+
+
 def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
     return nearest(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
@@ -103,6 +122,21 @@ def knn_blockwise(spark: SparkSession, d: str) -> DataFrame:
     return nearest_blockwise(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
+def knn_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every row whose id is divisible by 50 as a query, against all rows."""
+    v = table(spark, d, "embeddings", ["vec_id", "embedding"])
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return nearest_many(v, queries, 10, "vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def vectors_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of one label written again with another fingerprint."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("m").alias("model"), F.lit("old").alias("fingerprint"), "embedding", "label")
+    fresh = v.where("label = 1").withColumn("fingerprint", F.lit("new")).drop("label")
+    size = v.select(F.size("embedding")).first()
+    return add_or_replace(v.drop("label"), fresh, size[0] if size else 0).select("chunk_id", "fingerprint")
+
+
 def knn_l2(spark: SparkSession, d: str) -> DataFrame:
     return nearest(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "vec_id", metric="l2").select("vec_id", F.round("score", 6).alias("score"))
 
@@ -162,21 +196,21 @@ def hybrid_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = search_hybrid(table(spark, d, "chunks", spread=True), _books(spark, d), _vectors(spark, d), QUERY, _query_vector(spark, d), limit=10)
+    hits = search_hybrid(table(spark, d, "chunks"), _books(spark, d), _vectors(spark, d), QUERY, _query_vector(spark, d), limit=10, index=_index(spark, d))
     return hits.select("chunk_id", "display", F.round("hybrid_score", 9).alias("hybrid_score"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        search_author, search_format, search_language, search_tag, search_year, search_category, postings_stats, bm25_and, bm25_or_lemma, bm25_phrase, bm25_postings, search_snippets, knn_cosine, knn_blockwise, knn_l2, knn_filtered,
+        search_author, search_format, search_language, search_tag, search_year, search_category, postings_stats, bm25_and, bm25_or_lemma, bm25_phrase, bm25_scan, search_snippets, search_hits, knn_cosine, knn_blockwise, knn_queries, knn_l2, knn_filtered, vectors_replaced,
         embed_pending, embed_chunks, vectors_alive, hybrid_fuse, hybrid_exact_boost, hybrid_exact_terms, hybrid_rerank, hybrid_dedupe, hybrid_search,
     )
 }
 
 
-def bm25_sql(raw: list[list[str]], lemma: list[list[str]]) -> str:
-    """The closed formula over lists of tokens."""
+def bm25_sql(raw: list[list[str]], lemma: list[list[str]], books: str = "") -> str:
+    """The closed formula over lists of tokens; books: a condition on the books whose chunks are returned, with their paths."""
     phrases = [("r", p, RAW_WEIGHT) for p in raw] + [("l", p, LEMMA_WEIGHT) for p in lemma]
     count = lambda c, p: f"len(list_filter({c}, lambda t: t = '{p[0]}'))" if len(p) == 1 else f"len(list_filter(range(1, len({c}) + 1), lambda i: {c}[i:i + {len(p) - 1}] = {p!r}))"
     occ = ", ".join(f"{count(c, p)} AS o{i}" for i, (c, p, _) in enumerate(phrases))
@@ -185,10 +219,14 @@ def bm25_sql(raw: list[list[str]], lemma: list[list[str]]) -> str:
     hit = {s: " AND ".join(f"o{i} > 0" for i in own) for s, own in branch.items() if own}
     term = lambda i: f"i{i} * o{i} * {phrases[i][2]} * {K1 + 1} / (o{i} * {phrases[i][2]} + {K1} * (1 - {B} + {B} * dl / avgdl))"
     rank = " - ".join(f"CASE WHEN {hit[s]} THEN {' + '.join(term(i) for i in branch[s])} ELSE 0 END" for s in hit)
+    matched = " OR ".join(f"({h})" for h in hit.values())
+    last = f"SELECT id, round(0 - {rank}, 9) AS rank FROM o, s WHERE {matched} ORDER BY rank, id LIMIT {TOP}"
+    if books:
+        last = f"SELECT o.id AS chunk_id, b.source_path, round(0 - {rank}, 9) AS rank FROM o JOIN chunks c ON c.id = o.id JOIN books b ON b.id = c.book_id, s WHERE ({matched}) AND {books} ORDER BY rank, chunk_id LIMIT {TOP}"
     return f"""WITH t AS (SELECT id, {tok_sql('raw_text')} AS r, {tok_sql('lemma_text')} AS l FROM chunks),
 o AS (SELECT id, len(r) + len(l) AS dl, {occ} FROM t),
 s AS (SELECT avg(dl) AS avgdl, {idf} FROM o)
-SELECT id, round(0 - {rank}, 9) AS rank FROM o, s WHERE {' OR '.join(f'({h})' for h in hit.values())} ORDER BY rank, id LIMIT {TOP}"""
+{last}"""
 
 
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -211,9 +249,13 @@ SELECT token, col, count(DISTINCT id) AS n_chunks, count(*) AS n_total, max(pos)
     "bm25_and": bm25_sql([[t] for t in TERMS], []),
     "bm25_or_lemma": bm25_sql([[t] for t in TERMS], [[t] for t in TERMS]),
     "bm25_phrase": bm25_sql([PHRASE], []),
-    "bm25_postings": bm25_sql([[t] for t in TERMS], [[t] for t in TERMS]),
+    "bm25_scan": bm25_sql([[t] for t in TERMS], [[t] for t in TERMS]),
     "knn_cosine": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q}) DESC, vec_id LIMIT 10",
     "knn_blockwise": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q}) DESC, vec_id LIMIT 10",
+    "search_hits": bm25_sql([[t] for t in TERMS], [[t] for t in TERMS], "lower(b.format_name) = 'pdf'"),
+    "knn_queries": """WITH c AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM c) SELECT query_id, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10""",
+    "vectors_replaced": "SELECT vec_id AS chunk_id, CASE WHEN label = 1 THEN 'new' ELSE 'old' END AS fingerprint FROM embeddings",
     "knn_l2": f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], {_Q}) ** 2, 6) AS score FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_Q}), vec_id LIMIT 10",
     "knn_filtered": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS score FROM embeddings WHERE label = 1 ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_Q}) DESC, vec_id LIMIT 10",
     "embed_pending": "SELECT id AS chunk_id, sha256('m' || chr(10) || raw_text) AS fingerprint FROM chunks WHERE trim(raw_text, ' ') <> '' AND id NOT IN (SELECT vec_id FROM embeddings)",

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.functions import text as X
-from tomeforge.functions.language import detect_language
-from tomeforge.functions.lemma import learn_dictionary, lemmatize
+from tomeforge.functions.language import FIRST_CHARS, MARGIN, detect_language
+from tomeforge.functions.lemma import ENDINGS, learn_dictionary, lemmatize
 from tomeforge.functions.rewrite import KEY_TERMS, LEAST_CHARS, LONG_CHARS, LONG_WORDS, SEARCH_TERMS, STOPWORDS, SUBJECT_STEMS, rewrite_columns
 from tomeforge.runtime import table
 from tomeforge.sources.files import chunks_by_ids as by_ids
@@ -99,6 +99,10 @@ def iter_chunks(spark: SparkSession, d: str) -> DataFrame:
     return scan_chunks(table(spark, d, "chunks"), table(spark, d, "books"), limit=100, offset=50).select("id", "book_id", "chunk_no", "source_path", "language")
 
 
+def iter_all_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return scan_chunks(table(spark, d, "chunks"), table(spark, d, "books")).select("id", "book_id", "chunk_no", "source_path", "language")
+
+
 def chunks_by_ids(spark: SparkSession, d: str) -> DataFrame:
     return by_ids(table(spark, d, "chunks", ["id", "book_id", "chunk_no", "raw_text"], spread=True), IDS)
 
@@ -135,7 +139,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_whitespace, doc_sha256, tokenize_counts, search_term_counts, prereform_map, normalize_dispatch, lemmas_learned, lemmatized_documents, metadata_lines, display_location, semantic_excerpt, canonical_paths, safe_casts, roman_centuries,
-        query_rewrite, iter_chunks, chunks_by_ids, json_rows, txt_blocks, language_detect, normalized_hash, results_json,
+        query_rewrite, iter_chunks, iter_all_chunks, chunks_by_ids, json_rows, txt_blocks, language_detect, normalized_hash, results_json,
     )
 }
 
@@ -195,4 +199,19 @@ FROM x WHERE {strip_sql('l[no]')} <> ''""",
  list_filter(coalesce(regexp_extract_all(replace(lower(lemma_text), 'ё', 'е'), '{TOK}'), []), lambda t: regexp_full_match(t, '[0-9A-Za-zА-Яа-яЁё]+')) AS l FROM chunks),
 f AS (SELECT unnest(r) AS form, unnest(l) AS lemma FROM p WHERE len(r) = len(l)), c AS (SELECT form, lemma, count(*) AS n FROM f GROUP BY form, lemma)
 SELECT form, lemma FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY n DESC, lemma DESC) AS rn FROM c) WHERE rn = 1""",
+    "iter_all_chunks": "SELECT c.id, book_id, chunk_no, source_path, language FROM chunks c JOIN books b ON b.id = c.book_id",
+}
+_STEM = "CASE WHEN length({0}) > 4 THEN regexp_replace({0}, '" + ENDINGS + "', '') ELSE {0} END"
+_TERMS = "list_filter(coalesce(regexp_extract_all(replace(lower({0}), 'ё', 'е'), '" + TOK + "'), []), lambda t: regexp_full_match(t, '[0-9A-Za-zА-Яа-яЁё]+'))"
+_MODERN = f"CASE WHEN regexp_matches(text, '[{X.OLD_LETTERS}]') THEN regexp_replace(regexp_replace(translate(text, '{X.OLD_LETTERS}', '{X.NEW_LETTERS}') || ' ', 'ъ([^\\p{{L}}\\p{{N}}_])', '\\1', 'g'), ' $', '') ELSE text END"
+_COUNT = "(length(t) - length(translate(t, '{0}', '')))"
+ORACLES |= {
+    "lemmatized_documents": f"""WITH words AS ({ORACLES["lemmas_learned"]}),
+stems AS (SELECT {_STEM.format("form")} AS stem, min(lemma) AS by_stem FROM words GROUP BY 1),
+d AS (SELECT doc_id, {_TERMS.replace("{0}", "(" + _MODERN + ")")} AS w FROM documents), f AS (SELECT doc_id, unnest(w) AS form, unnest(range(len(w))) AS pos FROM d),
+m AS (SELECT doc_id, pos, coalesce(lemma, by_stem, f.form) AS lemma FROM f LEFT JOIN words ON words.form = f.form LEFT JOIN stems ON stems.stem = {_STEM.format("f.form")})
+SELECT d.doc_id, coalesce(string_agg(lemma, ' ' ORDER BY pos), '') AS lemma_text FROM d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "language_detect": f"""WITH t AS (SELECT doc_id, lower(substring(trim(coalesce(text, ''), ' '), 1, {FIRST_CHARS})) AS t FROM documents),
+c AS (SELECT doc_id, length(regexp_replace(t, '[^a-z]', '', 'g')) AS la, length(regexp_replace(t, '[^\\x{{0400}}-\\x{{04ff}}]', '', 'g')) AS cy, {_COUNT.format("қғұі")} AS kk, {_COUNT.format("җ")} AS tt, {_COUNT.format("әөүңһ")} AS both_ FROM t)
+SELECT doc_id, CASE WHEN la + cy = 0 OR abs(la - cy) < {MARGIN} * (la + cy) THEN 'ru' WHEN la > cy THEN 'en' WHEN kk + tt + both_ > 0.02 * cy AND kk > tt AND kk > 0.2 * (kk + tt + both_) THEN 'kk' WHEN kk + tt + both_ > 0.02 * cy THEN 'tt' ELSE 'ru' END AS language FROM c""",
 }

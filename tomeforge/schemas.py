@@ -19,6 +19,7 @@ BLOCKS = "array<struct<text:string,page:int,chapter:string,item_id:string,char_s
 BOOKS = _parse("id long, source_path string, title string, author string, format_name string, language string, updated_at timestamp")
 CHUNKS = _parse("id long, book_id long, chunk_no int, raw_text string, lemma_text string, page int, chapter string, item_id string, char_start int, char_end int")
 INDEX_STATE = _parse("source_path string, book_id long, fingerprint string, mtime_ns long, indexed_at timestamp, run_no int, normal_hash string")
+LEMMAS = _parse("form string, lemma string")
 VECTORS = _parse("chunk_id long, model string, fingerprint string, embedding array<float>")
 CATEGORIES = _parse("id int, name string, parent_id int, description string")
 BOOK_CATEGORIES = _parse("book_id long, category_id int")

@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.functions.language import detect_language
+from tomeforge.functions.lemma import lemmatize
 from tomeforge.functions.text import is_metadata_line, normal_text, normalize_text
 from tomeforge.operators.chunking import MAX_CHARS, OVERLAP_CHARS, chunk_domains, chunk_id, domains
 from tomeforge.operators.dedupe import changed, decide
+from tomeforge.operators.fulltext import TextIndex
 from tomeforge.operators.upsert import replace_group, upsert
+from tomeforge.runtime import written
 from tomeforge.schemas import BLOCKS, BOOKS, CHUNKS, INDEX_STATE, conform
 from tomeforge.sources.formats import parse
 
@@ -50,7 +53,7 @@ def extract(files: DataFrame, compat: bool = False) -> DataFrame:
 
     ready = files.select("path", "content", F.col("path").alias("source_path"), F.sha2("content", 256).alias("fingerprint"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
     parsed = ready.mapInPandas(run, f"source_path string, fingerprint string, mtime_ns long, format_name string, title string, author string, language string, blocks {BLOCKS}, error string")
-    text = F.concat_ws(" ", F.slice(F.col("blocks.text"), 1, 30))
+    text = F.concat_ws(" ", F.col("blocks.text"))
     return parsed.withColumn("language", F.coalesce("language", detect_language(text)))
 
 
@@ -73,15 +76,28 @@ def earlier_files(good: DataFrame, state: DataFrame) -> DataFrame:
     return rest.select(F.col("fingerprint").alias("binary_hash"), F.coalesce("normal_hash", "same_bytes").alias("normal_hash"))
 
 
-def index_files(files: DataFrame, books: DataFrame, chunks: DataFrame, state: DataFrame, run_no: int = 0, skip_duplicates: bool = True, across_runs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def lemma_texts(chunks: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """chunks (id, lemma_text with the normalised text, language) with the lemmas of the Russian ones in place of their words; lemmas: (form, lemma)."""
+    russian = ~F.coalesce("language", F.lit("ru")).isin("kk", "tt", "en")
+    terms = chunks.where(russian & (F.coalesce("lemma_text", F.lit("")) != "")).select("id", F.split("lemma_text", " ").alias("terms"))
+    found = lemmatize(terms, "id", "terms", lemmas).withColumnRenamed("lemma_text", "_lemmas")
+    return chunks.join(found, "id", "left").withColumn("lemma_text", F.coalesce("_lemmas", "lemma_text")).drop("_lemmas")
+
+
+def index_files(
+    files: DataFrame, books: DataFrame, chunks: DataFrame, state: DataFrame, run_no: int = 0, skip_duplicates: bool = True, across_runs: bool = False, lemmas: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """New (books, chunks, index_state) and the results (source_path, status, reason, error) of one run.
 
     Unchanged files are skipped; duplicates are not indexed unless skip_duplicates is off. across_runs: nor are duplicates
     of files that earlier runs indexed under another path; an indexed path comes before a new one of the same content.
+    lemmas: (form, lemma) for the lemma text of Russian chunks, which without it is the normalised text.  Every file is
+    read and parsed once; all four results come from that one table.
     """
     hashed = files.select("path", "modificationTime", "content").withColumn("source_path", F.col("path")).withColumn("fingerprint", F.sha2("content", 256))
     todo = changed(hashed, state)
-    docs = extract(todo.select("path", "modificationTime", "content"))
+    unchanged = written(hashed.join(todo.select("source_path"), "source_path", "left_anti").select("source_path"), "unchanged")
+    docs = written(extract(todo.select("path", "modificationTime", "content")), "extracted")
     good = docs.where(F.col("error").isNull()).withColumn("normal_hash", content_hash(F.col("blocks")))
     order, history = F.col("source_path"), None
     if across_runs:
@@ -89,17 +105,20 @@ def index_files(files: DataFrame, books: DataFrame, chunks: DataFrame, state: Da
         good = good.join(indexed, "source_path", "left")
         order, history = F.struct(F.coalesce("new", F.lit(True)), "source_path"), earlier_files(good, state)
     decided = decide(good.withColumn("turn", order).withColumnRenamed("fingerprint", "binary_hash"), "source_path", order="turn", history=history).withColumnRenamed("binary_hash", "fingerprint")
+    decided = written(decided.withColumn("updated_at", F.current_timestamp()), "decided")
     taken = decided.where(~F.col("is_duplicate")) if skip_duplicates else decided
-    fresh = taken.withColumn("id", F.xxhash64("source_path")).withColumn("updated_at", F.current_timestamp())
+    fresh = taken.withColumn("id", F.xxhash64("source_path"))
     parts = book_chunks(taken).join(taken.select("source_path", "language"), "source_path")
     new_chunks = parts.select(
-        chunk_id(F.col("source_path"), F.col("chunk_no"), F.col("text")).alias("id"), F.xxhash64("source_path").alias("book_id"), "chunk_no", F.col("text").alias("raw_text"), normal_text(F.col("text"), F.col("language")).alias("lemma_text"), "page", "chapter", "item_id", "char_start", "char_end"
+        chunk_id(F.col("source_path"), F.col("chunk_no"), F.col("text")).alias("id"), F.xxhash64("source_path").alias("book_id"), "chunk_no", F.col("text").alias("raw_text"), normal_text(F.col("text"), F.col("language")).alias("lemma_text"), "page", "chapter", "item_id", "char_start", "char_end", "language"
     )
+    if lemmas is not None:
+        new_chunks = lemma_texts(new_chunks, lemmas)
     new_state = fresh.select("source_path", F.col("id").alias("book_id"), "fingerprint", "mtime_ns", F.col("updated_at").alias("indexed_at"), F.lit(run_no).alias("run_no"), "normal_hash")
     results = (
         decided.select("source_path", F.when(F.col("is_duplicate") & F.lit(skip_duplicates), "skipped").otherwise("indexed").alias("status"), "reason", F.lit(None).cast("string").alias("error"))
         .unionByName(docs.where(F.col("error").isNotNull()).select("source_path", F.lit("error").alias("status"), F.lit(None).cast("string").alias("reason"), "error"))
-        .unionByName(hashed.join(todo.select("source_path"), "source_path", "left_anti").select("source_path", F.lit("skipped").alias("status"), F.lit("unchanged").alias("reason"), F.lit(None).cast("string").alias("error")))
+        .unionByName(unchanged.select("source_path", F.lit("skipped").alias("status"), F.lit("unchanged").alias("reason"), F.lit(None).cast("string").alias("error")))
     )
     return upsert(books, conform(fresh, BOOKS), "source_path"), replace_group(chunks, conform(new_chunks, CHUNKS), "book_id"), upsert(conform(state, INDEX_STATE), conform(new_state, INDEX_STATE), "source_path"), results
 
@@ -129,16 +148,11 @@ def parse_results(lines: DataFrame, col: str = "json") -> DataFrame:
     return keep.withColumns({"chunk_id": F.coalesce(F.col("chunk_id").try_cast("long"), F.lit(-1)), "chunk_no": F.coalesce(F.col("chunk_no").try_cast("int"), F.lit(0)), "page": F.col("page").try_cast("int"), "hybrid_score": F.col("hybrid_score").try_cast("double")})
 
 
-def maintain(spark: SparkSession, action: str, path: str) -> None:
-    """optimize: rewrite an index folder into few sorted files; rebuild: build it again from chunks at path/chunks."""
-    from tomeforge.operators.fulltext import write_index
-
-    if action == "rebuild":
-        write_index(spark.read.parquet(f"{path}/chunks"), path)
+def maintain(spark: SparkSession, action: str, index_path: str, chunks: DataFrame | None = None) -> None:
+    """optimize: rewrite a text index into few sorted files; rebuild: build it again from chunks. Searches go on meanwhile."""
+    if action == "rebuild" and chunks is not None:
+        TextIndex(spark, index_path).build(chunks)
     elif action == "optimize":
-        rows = spark.read.parquet(f"{path}/postings")
-        rows.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings_new")
+        TextIndex(spark, index_path).optimize()
     else:
         raise ValueError(f"unknown action {action}")
-
-
