@@ -11,6 +11,7 @@ from tomeforge.functions.lemma import ENDINGS, learn_dictionary, lemmatize
 from tomeforge.functions.rewrite import KEY_TERMS, LEAST_CHARS, LONG_CHARS, LONG_WORDS, SEARCH_TERMS, STOPWORDS, SUBJECT_STEMS, rewrite_columns
 from tomeforge.runtime import table
 from tomeforge.sources.files import chunks_by_ids as by_ids
+from tomeforge.sources.files import extract
 from tomeforge.sources.files import iter_chunks as scan_chunks
 from tomeforge.sources.files import parse_results as parse_json_results
 from tomeforge.sources.files import to_json_rows
@@ -114,13 +115,17 @@ def json_rows(spark: SparkSession, d: str) -> DataFrame:
     return parse_json_results(packed).groupBy("source_path").agg(F.count(F.lit(1)).alias("n"), F.count("page").alias("n_page"), F.min("chunk_id").alias("first_chunk"))
 
 
+def _as_files(spark: SparkSession, d: str, condition) -> DataFrame:
+    """Documents as the files of a folder, <doc_id>.txt."""
+    docs = table(spark, d, "documents", ["doc_id", "text", "created_at"]).where(condition)
+    return docs.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("created_at", F.lit(0).cast("timestamp")).alias("modificationTime"), F.encode("text", "UTF-8").alias("content"))
+
+
 def txt_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """One block per non-blank line with its number and offsets, all in built-ins."""
-    lines = table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", F.split("text", "\n").alias("l"))
-    starts = F.transform(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.struct(i.alias("no"), F.aggregate(F.slice("l", 1, i), F.lit(0), lambda s, x: s + F.length(x) + 1).alias("at"), F.get("l", i).alias("line")))
-    flat = lines.where(F.col("l").isNotNull()).select("doc_id", F.explode(starts).alias("x")).select("doc_id", "x.*")
-    body = X.strip(F.col("line"))
-    return flat.where(body != "").select("doc_id", F.concat(F.lit("line-"), (F.col("no") + 1).cast("string")).alias("item_id"), body.alias("text"), (F.col("at") + F.length("line") - F.length(F.regexp_replace("line", r"(?U)^\s+", ""))).alias("char_start"))
+    """The documents as text files through the extraction of files: one block per non-blank line with its number and offset."""
+    found = extract(_as_files(spark, d, F.col("text").isNotNull()))
+    rows = found.select(F.regexp_extract("source_path", r"(\d+)\.txt", 1).cast("long").alias("doc_id"), F.explode("blocks").alias("b"))
+    return rows.select("doc_id", "b.item_id", "b.text", "b.char_start")
 
 
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +195,7 @@ SELECT query_id, normalized, CASE WHEN (len(words) >= {LONG_WORDS} OR length(nor
     "iter_chunks": "SELECT c.id, c.book_id, c.chunk_no, b.source_path, b.language FROM chunks c JOIN books b ON b.id = c.book_id ORDER BY c.id LIMIT 100 OFFSET 50",
     "chunks_by_ids": f"SELECT id, book_id, chunk_no, raw_text FROM chunks WHERE id IN ({', '.join(map(str, IDS))})",
     "json_rows": "SELECT source_path, count(*) AS n, count(page) AS n_page, min(chunk_id) AS first_chunk FROM hybrid_hits WHERE coalesce(source_path, '') <> '' AND coalesce(display, '') <> '' GROUP BY source_path",
-    "txt_blocks": f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+    "txt_blocks": f"""WITH l AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(13) || chr(10), ' ' || chr(10)), '[\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS no, l FROM l)
 SELECT doc_id, 'line-' || no AS item_id, {strip_sql('l[no]')} AS text, (coalesce(list_sum(list_transform(list_slice(l, 1, no - 1), lambda s: length(s) + 1)), 0) + length(l[no]) - length(regexp_replace(l[no], '^{_BLANK}', '')))::INTEGER AS char_start
 FROM x WHERE {strip_sql('l[no]')} <> ''""",
