@@ -14,32 +14,42 @@ from tomeforge.operators.sequence import running_sum, with_previous
 
 MAX_CHARS, OVERLAP_CHARS = 600, 120
 # Short forms after which a full stop ends no sentence.
-SHORT_FORMS = [
+SHORT_FORMS = frozenset([
     "г", "гг", "в", "вв", "т", "тт", "с", "стр", "ул", "д", "кв", "им", "проф", "акад", "др", "см", "ср", "напр", "рис", "табл", "гл", "ок", "руб", "коп", "млн", "млрд", "тыс",
     "mr", "mrs", "ms", "dr", "prof", "st", "vol", "no", "fig", "ed", "pp", "cf", "eg", "ie", "vs",
-]
+])
 _END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s+|$)")
 
 
+def _ends(text: str, m: re.Match) -> bool:
+    """Whether a mark ends a sentence: a single full stop does not after a short form or before a small letter."""
+    if m.group() != ".":
+        return True
+    k = m.end()
+    while k < len(text) and text[k].isspace():
+        k += 1
+    if k == len(text):
+        return True
+    if text[k].islower():
+        return False
+    k = m.start()
+    while k and text[k - 1].isalpha():
+        k -= 1
+    word = text[k : m.start()]
+    return word.lower() not in SHORT_FORMS and not (len(word) == 1 and word.isupper())
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of trimmed sentences; a text without any end is one sentence."""
-    out, start = [], 0
-    for m in _END.finditer(text):
-        word = re.search(r"([^\W\d_]+)$", text[: m.start()])
-        after = text[m.end() :].lstrip()
-        if m.group()[0] == "." and len(m.group()) == 1 and after:
-            if word and (word.group().lower() in SHORT_FORMS or len(word.group()) == 1 and word.group().isupper()) or after[0].islower():
-                continue
-        out.append((start, m.end()))
-        start = m.end()
-    if text[start:].strip():
-        out.append((start, len(text)))
-    trimmed = []
-    for a, b in out:
+    cuts = [0, *(m.end() for m in _END.finditer(text) if _ends(text, m)), len(text)]
+    out = []
+    for a, b in zip(cuts, cuts[1:]):
         s = text[a:b]
-        if s.strip():
-            trimmed.append((a + len(s) - len(s.lstrip()), a + len(s.rstrip())))
-    return trimmed
+        body = s.strip()
+        if body:
+            a += len(s) - len(s.lstrip())
+            out.append((a, a + len(body)))
+    return out
 
 
 def windows(text: str, start: int, end: int, max_chars: int = MAX_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[str, int, int]]:
