@@ -14,7 +14,7 @@ from tomeforge.operators.taxonomy import classify
 from tomeforge.operators.upsert import keep_existing, upsert
 from tomeforge.schemas import BOOKS, CHUNKS, INDEX_STATE, SETTINGS
 from tomeforge.sources.files import earlier_files, extract, index_files, scan
-from tomeforge.sources.formats import html_texts, ocr_status, order_pdf_blocks, parse, register, route
+from tomeforge.sources.formats import PdfPage, decode, html_texts, ocr_status, order_pdf_blocks, parse, pdf_adapter, register, route
 from tomeforge.streaming.watch import BINARY, arrivals, consume, debounce_batch, debounce_stream, parse_payloads
 
 
@@ -140,6 +140,23 @@ def test_formats():
     assert [ocr_status(5, 10, None)[0], ocr_status(0, 10, None)[0], ocr_status(0, 10, lambda: "")[0], ocr_status(0, 10, lambda: "x")[0], ocr_status(0, 10, lambda: 1 / 0)[0]] == ["EMBEDDED", "OCR_SKIPPED", "OCR_EMPTY", "OCR_SUCCESS", "OCR_FAILED"]
 
 
+def test_code_pages():
+    text = "Название: Сад\nТихий старый лес шумел над рекой, и никто не видел дома."
+    for encoding in ("utf-8", "utf-8-sig", "utf-16", "cp1251", "koi8-r", "cp866"):
+        assert decode(text.encode(encoding)) == text, encoding
+    assert decode("café".encode("cp1252")) and decode(b"") == "" and decode(b"plain") == "plain"
+
+
+def test_pdf_adapter():
+    pages = [PdfPage(1000.0, [(0, 9, 1, "two  words"), (0, 1, 0, "one")]), PdfPage(1000.0, [], b"scan"), PdfPage(1000.0, [], b"blank"), PdfPage(1000.0, [])]
+    read = lambda content: ({"title": None, "author": "A"}, pages)
+    meta, blocks = pdf_adapter(read, lambda picture: "seen" if picture == b"scan" else " ")(b"%PDF-", "/x/my_book.pdf")
+    assert meta == {"author": "A", "title": "My Book", "ocr": "EMBEDDED,OCR_SUCCESS,OCR_EMPTY,OCR_SKIPPED"}
+    assert [(b["text"], b["page"], b["char_start"]) for b in blocks] == [("one", 1, 0), ("two words", 1, 4), ("seen", 2, 0)]
+    assert pdf_adapter(read)(b"", "a.pdf")[0]["ocr"] == "EMBEDDED,OCR_SKIPPED,OCR_SKIPPED,OCR_SKIPPED"
+    assert pdf_adapter(read, lambda picture: 1 / 0)(b"", "a.pdf")[0]["ocr"] == "EMBEDDED,OCR_FAILED,OCR_FAILED,OCR_SKIPPED"
+
+
 def test_index_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Title: Text\n\nShared duplicate body for checking.", encoding="utf-8")
     (tmp_path / "b.txt").write_text("Другой текст. И ещё.", encoding="utf-8")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +83,15 @@ def answer(prompt_text: str, lead: str, enough: bool, generator: Generator | Non
         return NO_DATA, False
     except Exception:  # noqa: BLE001 - any failure of a service
         return f"{lead.strip()} [1]", True
+
+
+def answers(prompts: DataFrame, generator: Generator | None = None) -> DataFrame:
+    """prompts (prompt, lead, sufficient and any others) with answer and confirmed; the generator runs inside executors."""
+
+    @F.pandas_udf("struct<answer:string,confirmed:boolean>")
+    def write(prompt_text: pd.Series, lead: pd.Series, enough: pd.Series) -> pd.DataFrame:
+        rows = [answer(p or "", x or "", bool(ok), generator) for p, x, ok in zip(prompt_text, lead, enough)]
+        return pd.DataFrame(rows, columns=["answer", "confirmed"])
+
+    kept = [c for c in prompts.columns if c not in ("prompt", "lead", "sufficient")]
+    return prompts.select(*kept, write("prompt", "lead", "sufficient").alias("a")).select(*kept, "a.answer", "a.confirmed")

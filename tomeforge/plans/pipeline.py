@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeforge.functions import text as X
 from tomeforge.operators.chunking import chunk_domains, domains
 from tomeforge.operators.dedupe import binary_duplicates, changed, decide, latest_per_key, run_stats
-from tomeforge.operators.dialog import active_sessions, book_line, read_history
+from tomeforge.operators.dialog import active_sessions, book_line, clear_history, read_history
 from tomeforge.operators.dialog import book_page as page_of_books
-from tomeforge.operators.rag import distinct_sources, prompt, select_context, sufficient
+from tomeforge.operators.rag import NO_DATA, answers, distinct_sources, prompt, select_context, sufficient
 from tomeforge.operators.taxonomy import MIN_SCORE, THESAURUS, TOP_N, book_sample, classify
 from tomeforge.operators.timeline import CENTURY_WORDS, extract, numerals, overlapping
 from tomeforge.operators.upsert import keep_existing, last_n, upsert
 from tomeforge.plans.incremental import committed_files
 from tomeforge.runtime import table
+from tomeforge.sources.files import upload_problem
+from tomeforge.sources.formats import route
 from tomeforge.streaming.watch import debounce_batch, parse_payloads, wanted
 
 
@@ -112,6 +115,33 @@ def rag_prompt(spark: SparkSession, d: str) -> DataFrame:
     return prompt(_results(spark, d), ["query_id", "query_text"], "query_text", 1500).select("query_id", F.sha2("prompt", 256).alias("sha"), F.length("prompt").alias("chars"))
 
 
+def rag_answers(spark: SparkSession, d: str) -> DataFrame:
+    results = _results(spark, d)
+    lead = results.where("rank = 1").select("query_id", F.col("excerpt").alias("lead"))
+    asked = prompt(results, ["query_id", "query_text"], "query_text", 1500).select("query_id", "prompt")
+    return answers(asked.join(lead, "query_id").join(sufficient(results, ["query_id"]), "query_id"))
+
+
+def upload_checks(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "file_scans", ["source_path", "size_bytes"])
+    return seen.groupBy(upload_problem(X.basename(F.col("source_path")), F.col("size_bytes")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def file_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The format by which a file would be read; only its path is looked at."""
+
+    @F.pandas_udf("string")
+    def kind(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: route(p, b""))
+
+    return table(spark, d, "file_scans", ["source_path"]).groupBy(kind("source_path").alias("format_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def history_cleared(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "events", ["event_id", "user_id"]).select(F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("chat_id"), "user_id")
+    return clear_history(turns, 3, 10).groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+
+
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     """The events as messages: a user's chat is the kind of the event."""
     return table(spark, d, "events", ["event_id", "user_id", "event_type", "ts"]).select(F.col("event_id").alias("id"), F.col("event_type").alias("chat"), "user_id", "ts")
@@ -169,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_domain_texts, chunk_windows, dedupe_binary, dedupe_normalized, incremental_changed, incremental_stats, index_state_latest, classify_topn, books_by_category, timeline_spans, timeline_years, timeline_overlap,
-        rag_context, rag_gate, rag_sources, rag_prompt, dialog_last_n, dialog_history, session_active, book_page, search_page, upsert_books, debounce_sessions, ingest_payloads, file_arrivals,
+        rag_context, rag_gate, rag_sources, rag_prompt, rag_answers, upload_checks, file_routes, history_cleared, dialog_last_n, dialog_history, session_active, book_page, search_page, upsert_books, debounce_sessions, ingest_payloads, file_arrivals,
     )
 }
 
@@ -246,4 +276,9 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max
 SELECT k = 'g' AS ok, CASE WHEN k <> 'g' THEN 'ingest' END AS stage, k = 'g' AS is_duplicate, CASE WHEN k = 'g' THEN 'binary-match' END AS reason, count(*) AS n,
  min(CASE k WHEN 'b' THEN 'the report is no JSON object' WHEN 'e' THEN 'no ' || id END) AS error FROM k GROUP BY 1, 2, 3, 4""",
     "file_arrivals": "SELECT source_path, count(*) AS n FROM file_scans WHERE regexp_matches(lower(string_split(source_path, '/')[-1]), '\\.(pdf|epub|fb2|txt)$') AND NOT regexp_matches(string_split(source_path, '/')[-1], '^[.~]|~$|\\.(tmp|part)\\b') GROUP BY source_path",
+    "rag_answers": f"""{_RES}, g AS (SELECT query_id, count(*) >= 2 AND sum(hybrid_score) >= 0.7 AS ok FROM r WHERE rank <= 2 GROUP BY query_id)
+SELECT g.query_id, CASE WHEN ok THEN trim(excerpt, ' ' || chr(9) || chr(10) || chr(13)) || ' [1]' ELSE '{NO_DATA}' END AS answer, ok AS confirmed FROM g JOIN r ON r.query_id = g.query_id AND r.rank = 1""",
+    "upload_checks": "SELECT CASE WHEN size_bytes > 52428800 THEN 'too large' WHEN NOT regexp_matches(lower(source_path), '\\.(pdf|epub|fb2|txt)$') THEN 'unsupported format' END AS problem, count(*) AS n FROM file_scans GROUP BY 1",
+    "file_routes": "SELECT CASE WHEN regexp_matches(lower(source_path), '\\.fb2\\.zip$|\\.fb2$|\\.fbz$') THEN 'fb2' WHEN regexp_matches(lower(source_path), '\\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(source_path), '\\.epub$') THEN 'epub' ELSE 'txt' END AS format_name, count(*) AS n FROM file_scans GROUP BY 1",
+    "history_cleared": "SELECT user_id % 7 AS chat_id, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE NOT (user_id % 7 = 3 AND user_id = 10) GROUP BY 1",
 }

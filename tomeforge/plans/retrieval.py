@@ -12,7 +12,7 @@ from tomeforge.operators.fulltext import B, K1, LEMMA_WEIGHT, RAW_WEIGHT, TextIn
 from tomeforge.operators.hybrid import above, exact_match, first_per_item, fuse, rerank_score, search_hybrid
 from tomeforge.operators.taxonomy import THESAURUS, book_sample, classify
 from tomeforge.operators.timeline import extract
-from tomeforge.operators.vectors import HashingEmbedder, add_or_replace, embed, live_vectors, nearest, nearest_blockwise, nearest_many, pending_chunks
+from tomeforge.operators.vectors import HashingEmbedder, add_or_replace, embed, live_vectors, nearest, nearest_blockwise, nearest_many, pending_chunks, search_semantic
 from tomeforge.plans.pipeline import _SPANS
 from tomeforge.plans.texts import tok_sql
 from tomeforge.runtime import shared_path, table
@@ -166,6 +166,12 @@ def vectors_alive(spark: SparkSession, d: str) -> DataFrame:
     return live_vectors(v, table(spark, d, "chunks", ["id"]))
 
 
+def semantic_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest chunks of the books of one format, by their own vectors."""
+    found = search_semantic(_vectors(spark, d), table(spark, d, "chunks"), _books(spark, d), _query_vector(spark, d), 10, filters=SearchFilters(format_name="fb2"))
+    return found.select("chunk_id", "source_path", F.round("score", 6).alias("score"))
+
+
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     cols = ["query_id", "query_text", "source_path", "title", "chunk_id", "chunk_no", "page", "chapter", "char_start", "excerpt", "keyword_rank", "semantic_score"]
     nan = lambda c: F.when(~F.isnan(c), F.col(c))
@@ -203,7 +209,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        search_author, search_format, search_language, search_tag, search_year, search_category, postings_stats, bm25_and, bm25_or_lemma, bm25_phrase, bm25_scan, search_snippets, search_hits, knn_cosine, knn_blockwise, knn_queries, knn_l2, knn_filtered, vectors_replaced,
+        search_author, search_format, search_language, search_tag, search_year, search_category, postings_stats, bm25_and, bm25_or_lemma, bm25_phrase, bm25_scan, search_snippets, search_hits, knn_cosine, knn_blockwise, knn_queries, knn_l2, knn_filtered, vectors_replaced, semantic_filtered,
         embed_pending, embed_chunks, vectors_alive, hybrid_fuse, hybrid_exact_boost, hybrid_exact_terms, hybrid_rerank, hybrid_dedupe, hybrid_search,
     )
 }
@@ -268,4 +274,6 @@ SELECT query_id, chunk_id, round(s, 9) AS score FROM x WHERE s >= 0.2""",
     "hybrid_rerank": f"""{_FUSED}, w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(concat_ws(' ', title, chapter, excerpt)), '[0-9A-Za-zА-Яа-яЁё]+'), lambda x: NOT list_contains({STOPWORDS!r}, x))) AS hay FROM n)
 SELECT query_id, chunk_id, round(CASE WHEN len(hay) = 0 THEN 0.5 ELSE 0.5 + 0.2 * ((list_contains(hay, 'древний')::INT + list_contains(hay, 'указатель')::INT) / 2.0) + 0.25 * list_contains(hay, 'указатель')::INT END, 9) AS score FROM w""",
     "hybrid_dedupe": """SELECT source_path, chunk_id, query_id, round(hybrid_score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY lower(source_path), chunk_id ORDER BY hybrid_score DESC, query_id) AS rn FROM hybrid_hits) WHERE rn = 1""",
+    "semantic_filtered": f"""SELECT vec_id AS chunk_id, source_path, round(s, 6) AS score FROM (SELECT vec_id, b.source_path, list_cosine_similarity(embedding::DOUBLE[], {_Q}) AS s FROM embeddings e JOIN chunks c ON c.id = e.vec_id JOIN books b ON b.id = c.book_id
+WHERE lower(b.format_name) = 'fb2') ORDER BY s DESC, chunk_id LIMIT 10""",
 }

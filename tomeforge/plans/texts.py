@@ -128,6 +128,16 @@ def txt_blocks(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "b.item_id", "b.text", "b.char_start")
 
 
+def fb2_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as FictionBook files through the extraction of files: kind is the chapter, the words are its paragraph."""
+    docs = table(spark, d, "documents", ["doc_id", "text", "kind"]).where(F.col("text").isNotNull() & F.col("kind").isNotNull())
+    words = F.regexp_replace("text", r"[^\p{L}\p{N}]+", " ")
+    xml = F.concat(F.lit("<?xml version='1.0' encoding='utf-8'?><FictionBook><body><section><title><p>"), F.col("kind"), F.lit("</p></title><p>"), words, F.lit("</p></section></body></FictionBook>"))
+    files = docs.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".fb2")).alias("path"), F.lit(0).cast("timestamp").alias("modificationTime"), F.encode(xml, "UTF-8").alias("content"))
+    rows = extract(files).select(F.regexp_extract("source_path", r"(\d+)\.fb2", 1).cast("long").alias("doc_id"), F.explode("blocks").alias("b"))
+    return rows.select("doc_id", "b.chapter", "b.text")
+
+
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", detect_language(F.col("text")).alias("language"))
 
@@ -144,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         normalize_whitespace, doc_sha256, tokenize_counts, search_term_counts, prereform_map, normalize_dispatch, lemmas_learned, lemmatized_documents, metadata_lines, display_location, semantic_excerpt, canonical_paths, safe_casts, roman_centuries,
-        query_rewrite, iter_chunks, iter_all_chunks, chunks_by_ids, json_rows, txt_blocks, language_detect, normalized_hash, results_json,
+        query_rewrite, iter_chunks, iter_all_chunks, chunks_by_ids, json_rows, txt_blocks, fb2_blocks, language_detect, normalized_hash, results_json,
     )
 }
 
@@ -219,4 +229,5 @@ SELECT d.doc_id, coalesce(string_agg(lemma, ' ' ORDER BY pos), '') AS lemma_text
     "language_detect": f"""WITH t AS (SELECT doc_id, lower(substring(trim(coalesce(text, ''), ' '), 1, {FIRST_CHARS})) AS t FROM documents),
 c AS (SELECT doc_id, length(regexp_replace(t, '[^a-z]', '', 'g')) AS la, length(regexp_replace(t, '[^\\x{{0400}}-\\x{{04ff}}]', '', 'g')) AS cy, {_COUNT.format("қғұі")} AS kk, {_COUNT.format("җ")} AS tt, {_COUNT.format("әөүңһ")} AS both_ FROM t)
 SELECT doc_id, CASE WHEN la + cy = 0 OR abs(la - cy) < {MARGIN} * (la + cy) THEN 'ru' WHEN la > cy THEN 'en' WHEN kk + tt + both_ > 0.02 * cy AND kk > tt AND kk > 0.2 * (kk + tt + both_) THEN 'kk' WHEN kk + tt + both_ > 0.02 * cy THEN 'tt' ELSE 'ru' END AS language FROM c""",
+    "fb2_blocks": """SELECT doc_id, kind AS chapter, trim(regexp_replace(kind || ' ' || regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'), ' +', ' ', 'g'), ' ') AS text FROM documents WHERE text IS NOT NULL AND kind IS NOT NULL""",
 }

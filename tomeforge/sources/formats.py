@@ -8,6 +8,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Callable
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -45,14 +46,34 @@ def route(path: str, head: bytes, compat: bool = False) -> str:
     return "txt"
 
 
+#: Of the letters of ordinary Russian text about this share is among the ten most frequent ones, written small.
+_FREQUENT_LETTERS = "оеаинтсрвл"
+
+
 def decode(content: bytes) -> str:
-    """UTF-8 (with or without mark), else windows-1251."""
-    for encoding in ("utf-8-sig", "cp1251"):
-        try:
+    """By the byte order mark, else UTF-8, else the Cyrillic code page in which the text reads most like words.
+
+    Windows-1251 comes first where two read alike, as in a text without Cyrillic letters.
+    """
+    for mark, encoding in ((b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"), (b"\xef\xbb\xbf", "utf-8-sig")):
+        if content.startswith(mark):
             return content.decode(encoding)
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+    best, most = None, -1
+    for encoding in ("cp1251", "koi8-r", "cp866"):
+        try:
+            text = content.decode(encoding)
         except UnicodeDecodeError:
             continue
-    raise ValueError("the text is in no known encoding")
+        score = sum(text.count(c) for c in _FREQUENT_LETTERS)
+        if score > most:
+            best, most = text, score
+    if best is None:
+        raise ValueError("the text is in no known encoding")
+    return best
 
 
 def stem(path: str) -> str:
@@ -232,6 +253,38 @@ def ocr_status(chars: int, area: float, recognise: Callable[[], str] | None) ->
     return ("OCR_SUCCESS", text) if text.strip() else ("OCR_EMPTY", "")
 
 
+@dataclass(frozen=True)
+class PdfPage:
+    """What a PDF reader gives of a page: its area in points, its text blocks (x0, y0, number, text), its picture for recognition."""
+
+    area: float
+    parts: list[tuple[float, float, int, str]]
+    picture: bytes | None = None
+
+
+def pdf_adapter(read: Callable[[bytes], tuple[dict, list[PdfPage]]], recognise: Callable[[bytes], str] | None = None) -> Callable[[bytes, str], Parsed]:
+    """A parser of PDF for register() from a reader of pages and, for pages without text of their own, a recogniser of pictures.
+
+    A page's text is its blocks in reading order; a scanned page's, what was recognised. Every page's status goes into the
+    metadata (ocr), so a file whose recognition was left out or failed can be told from an empty one.
+    """
+
+    def adapter(content: bytes, path: str) -> Parsed:
+        meta, pages = read(content)
+        found, states = [], []
+        for page in pages:
+            chars = sum(len(t.strip()) for *_, t in page.parts)
+            picture = page.picture
+            state, text = ocr_status(chars, page.area, (lambda: recognise(picture)) if recognise and picture else None)
+            states.append(state)
+            found.append([(0.0, 0.0, 0, text)] if text else page.parts)
+        meta = {k: v for k, v in meta.items() if v} | {"ocr": ",".join(states)}
+        meta.setdefault("title", title_from_name(path))
+        return meta, order_pdf_blocks(found)
+
+    return adapter
+
+
 def parse(content: bytes, path: str, compat: bool = False) -> tuple[str, dict, list[Block]]:
     kind = route(path, content[:4096], compat)
     adapter = _ADAPTERS.get(kind)
