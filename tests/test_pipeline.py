@@ -10,6 +10,7 @@ from tomeforge.operators import chunking as C
 from tomeforge.operators import dialog, rag, timeline
 from tomeforge.operators.dedupe import decide
 from tomeforge.operators.sequence import running_sum, with_previous
+from tomeforge.operators.skew import salted_join
 from tomeforge.operators.taxonomy import classify
 from tomeforge.operators.upsert import keep_existing, upsert
 from tomeforge.schemas import BOOKS, CHUNKS, INDEX_STATE, SETTINGS
@@ -67,6 +68,15 @@ def test_ranges_of_a_long_group(spark):
             assert [r.previous and r.previous.v for r in own] == [None] + [x.v for x in own[:-1]]
 
 
+def test_salted_join(spark):
+    left = spark.createDataFrame([(1, i) for i in range(200)] + [(2, 0), (3, 0), (None, 1)], "k int, v int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (9, "d")], "k int, w string")
+    for how in ("inner", "left", "left_semi"):
+        assert sorted(map(str, salted_join(left, right, ["k"], how).collect())) == sorted(map(str, left.join(right, ["k"], how).collect()))
+    with pytest.raises(ValueError):
+        salted_join(left, right, ["k"], "right")
+
+
 def test_classify(spark):
     words = [(1, "История", ["летопись", "война"]), (2, "Язык", ["слово", "война"])]
     df = spark.createDataFrame([(1, "Летопись, война и слово"), (2, ""), (3, "нет")], "book_id long, text string")

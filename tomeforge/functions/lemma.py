@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeforge.operators.skew import salted_join
+
 #: A seed; callers pass a larger table.
 SEED = {"книга": "книга", "книги": "книга", "книгу": "книга", "книге": "книга", "книгой": "книга", "книг": "книга", "ежик": "ежик", "ежика": "ежик", "ежике": "ежик", "елка": "елка", "елки": "елка", "елку": "елка"}
 ENDINGS = "(иями|ями|ами|ией|иям|ием|иях|ого|его|ому|ему|ыми|ими|ая|яя|ую|юю|ое|ее|ые|ие|ый|ий|ой|ей|ам|ям|ах|ях|ов|ев|ом|ем|ою|ею|а|я|о|е|ы|и|у|ю|ь|й)$"
@@ -47,5 +49,5 @@ def lemmatize(df: DataFrame, id_col: str, terms_col: str, dictionary: DataFrame
     flat = df.select(F.col(id_col).alias("id"), F.posexplode(terms_col).alias("pos", "form"))
     forms = flat.select("form").distinct()
     known = forms.join(words, "form", "left").withColumn("stem", stem(F.col("form"))).join(stems, "stem", "left").select("form", F.coalesce("lemma", "by_stem", "form").alias("lemma"))
-    parts = flat.join(known, "form").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("l"))
+    parts = salted_join(flat, known, ["form"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("l"))
     return df.select(F.col(id_col).alias("id")).distinct().join(parts, "id", "left").select(F.col("id").alias(id_col), F.concat_ws(" ", F.col("l.lemma")).alias("lemma_text"))
