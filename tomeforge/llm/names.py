@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.llm.confusables import tidy
+from tomeforge.operators.skew import salted_join
 from tomeforge.runtime import table
 
 # Transliteration, short forms, words that belong to an edition and not to a title.
@@ -343,7 +344,7 @@ def link_names(spellings: DataFrame, authority: DataFrame, shard_entities: int =
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "books", ["id", "author", "title"])
     fields = books.select("id", F.explode(F.array(F.struct(F.lit("author").alias("field"), F.col("author").alias("name")), F.struct(F.lit("title").alias("field"), F.col("title").alias("name")))).alias("f")).select("id", "f.*")
-    return fields.join(link_names(fields, table(spark, sf_dir, "authority_names")), ["field", "name"])
+    return salted_join(fields, link_names(fields, table(spark, sf_dir, "authority_names")), ["field", "name"])  # one spelling may be that of very many books
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,16 +373,25 @@ def similar_classes(rec: DataFrame, similarity: float = SIMILARITY, families: tu
 
 
 def pairs(members: DataFrame, linked: DataFrame, keep: str) -> DataFrame:
-    """(id_a, id_b, keep_a, keep_b), id_a < id_b: all pairs of records, of one class or of linked classes. members: (id, keep, class)."""
-    x = members.select(F.col("id").alias("ia"), F.col(keep).alias("ka"), F.col("class").alias("a"))
-    y = members.select(F.col("id").alias("ib"), F.col(keep).alias("kb"), F.col("class").alias("b"))
-    shared = members.groupBy("class").count().where("count > 1").select("class")
-    copies = members.join(shared, "class", "left_semi")
-    same = copies.select(F.col("id").alias("ia"), F.col(keep).alias("ka"), "class").join(copies.select(F.col("id").alias("ib"), F.col(keep).alias("kb"), "class"), "class").where(F.col("ia") < F.col("ib")).drop("class")
-    cross = linked.select("a", "b").join(x, "a").join(y, "b").select("ia", "ka", "ib", "kb").where(F.col("ia") != F.col("ib"))
+    """(id_a, id_b, keep_a, keep_b), id_a < id_b: all pairs of records, of one class or of linked classes. members: (id, keep, class).
+
+    The records of a class are dealt out in blocks of about HEAVY; every pair of blocks is joined by itself.
+    """
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / HEAVY))
+    placed = written(members.join(sizes, "class").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "placed")
+    x = placed.select(F.col("class").alias("a"), F.col("block").alias("i"), F.col("id").alias("ia"), F.col(keep).alias("ka"))
+    y = placed.select(F.col("class").alias("b"), F.col("block").alias("j"), F.col("id").alias("ib"), F.col(keep).alias("kb"))
+    numbers = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    repeated = sizes.where("n > 1").select(F.col("class").alias("a"), F.col("class").alias("b"), "blocks").withColumn("i", numbers("blocks")).withColumn("j", numbers("blocks")).where("i <= j")
+    of = lambda c, n: sizes.select(F.col("class").alias(c), F.col("blocks").alias(n))
+    unlike = linked.select("a", "b").join(of("a", "n_a"), "a").join(of("b", "n_b"), "b").withColumn("i", numbers("n_a")).withColumn("j", numbers("n_b"))
+    cells = repeated.select("a", "b", "i", "j").unionByName(unlike.select("a", "b", "i", "j"))
+    met = cells.join(x, ["a", "i"]).join(y, ["b", "j"])
+    # within one block of a class a pair would come twice
+    met = met.where(((F.col("a") != F.col("b")) | (F.col("i") != F.col("j")) | (F.col("ia") < F.col("ib"))) & (F.col("ia") != F.col("ib")))
     swap = F.col("ia") > F.col("ib")
-    ordered = cross.select(F.when(swap, F.col("ib")).otherwise(F.col("ia")).alias("ia"), F.when(swap, F.col("kb")).otherwise(F.col("ka")).alias("ka"), F.when(swap, F.col("ia")).otherwise(F.col("ib")).alias("ib"), F.when(swap, F.col("ka")).otherwise(F.col("kb")).alias("kb"))
-    return same.unionByName(ordered).select(F.col("ia").alias("id_a"), F.col("ib").alias("id_b"), F.col("ka").alias(f"{keep}_a"), F.col("kb").alias(f"{keep}_b")).distinct()
+    ends = [F.when(swap, F.col(q)).otherwise(F.col(p)).alias(n) for p, q, n in (("ia", "ib", "id_a"), ("ib", "ia", "id_b"), ("ka", "kb", f"{keep}_a"), ("kb", "ka", f"{keep}_b"))]
+    return met.select(*ends).distinct()
 
 
 def similar_groups(members: DataFrame, linked: DataFrame, keep: str, share: float = 0.5) -> DataFrame:

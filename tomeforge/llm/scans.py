@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeforge.llm.confusables import tidy
+from tomeforge.operators.skew import salted_join
 from tomeforge.runtime import table, written
 
 # What recognition writes -> what was printed.
@@ -255,7 +256,8 @@ def header_lines(scanned: DataFrame, books: DataFrame) -> DataFrame:
             out.append(any(x and difflib.SequenceMatcher(None, p, x, autojunk=False).ratio() >= ALIKE for x in (t, a, f"{a} {t}")) or len(p.split()) > 1 and (sorted(p.split()) == sorted(t.split()) or sorted(p.split()) == both))
         return pd.Series(out, index=plain.index)
 
-    rows = found.join(again, ["book_id", "key"], "left").join(named, "book_id", "left")
+    # one book, and one header in it, may be that of very many pages
+    rows = salted_join(salted_join(found, again, ["book_id", "key"], "left"), named, ["book_id"], "left")
     header = rows.where(F.col("certain") | F.col("alone") | F.coalesce("again", F.lit(False)) | alike("plain", "title", "author"))
     return header.groupBy("id").agg(F.collect_set("line").alias("header"))
 
