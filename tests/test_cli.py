@@ -4,7 +4,7 @@ import pytest
 
 from tomeforge import cli
 from tomeforge.operators.vectors import HashingEmbedder
-from tomeforge.schemas import BOOKS, CHUNKS, VECTORS
+from tomeforge.schemas import BOOK_CATEGORIES, BOOKS, CHUNKS, VECTORS
 from tomeforge.sources.files import scan
 
 
@@ -25,6 +25,7 @@ def test_commands(spark, tmp_path, capsys):
         _, out = call(capsys, "--store", store, "search-text", "--query", query)
         assert [r["title"] for r in out["results"]] == ["Сад"], query
     assert call(capsys, "--store", store, "index-files", "--path", str(docs))[1]["skipped"] == 2
+    assert call(capsys, "--store", store, "search-hybrid", "--query", "x") == (2, {"error": "there is no vector index"})
     assert call(capsys, "--store", store, "index-vectors")[1]["embedded"] >= 2 and call(capsys, "--store", store, "index-vectors")[1]["embedded"] == 0
     _, out = call(capsys, "--store", store, "search-hybrid", "--query", "книги на полке")
     assert out["results"][0]["title"] == "Сад"
@@ -32,6 +33,11 @@ def test_commands(spark, tmp_path, capsys):
     assert call(capsys, "--store", store, "search-text", "--query", "лес")[1]["results"]
     _, out = call(capsys, "--store", store, "build-timeline")
     assert out["total_events"] == 1
+    other = spark.createDataFrame([(5, 7), (5, 8)], BOOK_CATEGORIES)
+    cli.Store(spark, store).write(book_categories=other)
+    call(capsys, "--store", store, "classify-books", "--min-score", "0")
+    kept = cli.Store(spark, store).read("book_categories", BOOK_CATEGORIES).where("book_id = 5")
+    assert sorted(r.category_id for r in kept.collect()) == [7, 8]
     assert cli.run(["--store", store, "search-text", "--query", "x", "--alpha", "2"]) == 2
     capsys.readouterr()
     cli.Store(spark, store).write({"model": "other", "dimension": 3})

@@ -16,7 +16,8 @@ from tomeforge.operators.fulltext import TextIndex, query_terms, search_text
 from tomeforge.operators.hybrid import ALPHA, CANDIDATES, search_hybrid
 from tomeforge.operators.taxonomy import MIN_SCORE, TOP_N, book_sample, classify
 from tomeforge.operators.timeline import MIN_CONFIDENCE, extract
-from tomeforge.operators.vectors import Embedder, HashingEmbedder, embed, live_vectors, pending_chunks, search_semantic
+from tomeforge.operators.upsert import replace_group
+from tomeforge.operators.vectors import Embedder, HashingEmbedder, check_model, embed, live_vectors, pending_chunks, search_semantic
 from tomeforge.operators.versions import Versions
 from tomeforge.runtime import build_session, written
 from tomeforge.schemas import BOOK_CATEGORIES, BOOKS, CHUNKS, INDEX_STATE, LEMMAS, TIMELINE, VECTORS, conform
@@ -147,10 +148,14 @@ def run(argv: list[str] | None = None) -> int:
         if not 0 <= a.alpha <= 1:
             print(json.dumps({"error": "alpha must be between 0 and 1"}))
             return 2
-        model = store.fact("model")
-        if a.command != "search-text" and model and (model, store.fact("dimension")) != (embedder.model, embedder.dimension):
-            print(json.dumps({"error": f"the vectors were made by {model}, not {embedder.model}"}))
-            return 2
+        if a.command != "search-text":
+            model = store.fact("model")
+            state = spark.createDataFrame([(model, store.fact("dimension"))] if model else [], "model string, dimension int")
+            try:
+                check_model(state, embedder.model, embedder.dimension)
+            except RuntimeError as e:
+                print(json.dumps({"error": str(e)}))
+                return 2
         index = store.index if store.index.current() else None
         times = []
         for _ in range(max(1, a.repeats)):
@@ -171,9 +176,8 @@ def run(argv: list[str] | None = None) -> int:
             code = 2 if max(times) > GATE_MS else 0
     elif a.command == "classify-books":
         found = classify(book_sample(chunks), min_score=a.min_score, top_n=a.top_n)
-        # books that have been assigned by hand keep their categories
-        own = store.read("book_categories", BOOK_CATEGORIES)
-        store.write(book_categories=own.unionByName(conform(found.join(own.select("book_id").distinct(), "book_id", "left_anti"), BOOK_CATEGORIES)))
+        fresh = written(conform(found, BOOK_CATEGORIES), "categories")
+        store.write(book_categories=replace_group(store.read("book_categories", BOOK_CATEGORIES), fresh, "book_id"))  # those of other books stay
         rows = _rows(found.withColumn("score", F.round("score", 4)))
         out = {"classified": len({r["book_id"] for r in rows}), "results": rows}
     elif a.command == "build-timeline":

@@ -182,13 +182,15 @@ def live_vectors(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
 
 
-def check_model(state: DataFrame, model: str) -> None:
-    """state: one row (model, dimension, metric). Raises if there is no index or it was built with another model."""
+def check_model(state: DataFrame, model: str, dimension: int | None = None) -> None:
+    """state: one row (model, dimension). Raises if there is no index or it was built with another model or dimension."""
     row = state.first()
     if row is None:
         raise RuntimeError("there is no vector index")
     if row.model != model:
         raise RuntimeError(f"the vector index was built with {row.model}, not {model}")
+    if dimension is not None and row.dimension != dimension:
+        raise RuntimeError(f"the vector index has {row.dimension} dimensions, not {dimension}")
 
 
 def search_semantic(vectors: DataFrame, chunks: DataFrame, books: DataFrame, query: list[float], limit: int = 10, candidates: int = 0, filters: SearchFilters | None = None, **tables: DataFrame) -> DataFrame:

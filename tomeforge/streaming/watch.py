@@ -64,7 +64,3 @@ def parse_payloads(lines: DataFrame, col: str = "json") -> DataFrame:
     first_error, first = F.get(j["errors"], 0)["error"], F.get(j["results"], 0)
     error = F.when(j.isNull() | j["_broken"].isNotNull(), "the report is no JSON object").when(F.size(j["errors"]) > 0, F.coalesce(first_error, F.lit("unknown error"))).when(F.coalesce(F.size(j["results"]), F.lit(0)) < 1, "the report has no results").when(first["source_path"].isNull(), "the report's entry is broken")
     return lines.select(col, error.isNull().alias("ok"), F.when(error.isNotNull(), "ingest").alias("stage"), error.alias("error"), F.coalesce(first["is_duplicate"], F.lit(False)).alias("is_duplicate"), first["reason"].alias("reason"))
-
-
-def is_supported(path: Column) -> Column:
-    return F.lower(path).rlike(SUPPORTED)
